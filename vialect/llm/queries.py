@@ -5,16 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vialect.llm import langid, quality, url_filter
+from vialect.llm import bpe, langid, line_dedup, packing, quality, topk, url_filter
 from vialect.llm.common import table
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", "vec_id % 100 = 0")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_filter.filter_urls(pages, [*url_filter.SITE_RULES, *url_filter.PATTERN_RULES])
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", line_dedup.sha256_hex(F.col("text")).alias("kept_sha256"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, _tokenizer("byte_bpe_50k.json"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), ~quality.held_out(F.col("doc_id")))
@@ -29,12 +49,37 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(held, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op4_url_filter, op8_quality_classifier, op9_language_id)}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe.encoded(docs, _tokenizer("word_bpe_49k.json"))
+    return out.select(
+        "doc_id",
+        F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op3_exact_topk, op4_url_filter, op6_line_dedup, op7_packing, op8_quality_classifier, op9_language_id, op10_bpe)}
 
 _SITES = ", ".join(f"('{r.text}', '{r.verdict}', '{r.text.split('/', 1)[0]}', '/{r.text.split('/', 1)[1]}')" for r in url_filter.SITE_RULES)
 _BLOCKED = " OR ".join(f"regexp_matches(host || path, '{r.pattern}')" for r in url_filter.PATTERN_RULES)
 
 ORACLES = {
+    "op3_exact_topk": """
+WITH x AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda v: floor(1024 * v::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM x q JOIN x c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op6_line_dedup": r"""
+WITH lines AS (SELECT doc_id, unnest(str_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(str_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+ keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+ firsts AS (SELECT k, min(doc_id) AS f FROM keyed WHERE length(k) >= 10 GROUP BY k),
+ marked AS (SELECT doc_id, line, pos, coalesce(f < doc_id, false) AS gone FROM keyed LEFT JOIN firsts USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id""",
     "op4_url_filter": f"""
 WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS tail FROM pages),
  raw AS (SELECT page_id, tail, regexp_extract(tail, '^[^/?#]*') AS raw_host FROM cut),
