@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vialect.llm import bpe, langid, line_dedup, packing, quality, topk, url_filter
+from vialect.llm import bpe, langid, line_dedup, ngram_join, packing, quality, topk, url_filter
 from vialect.llm.common import table
 
 
@@ -15,6 +15,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", "vec_id % 100 = 0")
 
@@ -60,12 +64,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_topk, op4_url_filter, op6_line_dedup, op7_packing, op8_quality_classifier, op9_language_id, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_exact_topk, op4_url_filter, op6_line_dedup, op7_packing, op8_quality_classifier, op9_language_id, op10_bpe)}
 
 _SITES = ", ".join(f"('{r.text}', '{r.verdict}', '{r.text.split('/', 1)[0]}', '/{r.text.split('/', 1)[1]}')" for r in url_filter.SITE_RULES)
 _BLOCKED = " OR ".join(f"regexp_matches(host || path, '{r.pattern}')" for r in url_filter.PATTERN_RULES)
 
 ORACLES = {
+    "op2_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents),
+ g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+   ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
+ c AS (SELECT min(doc_id) AS rep, list(doc_id) AS docs, count(*) AS copies, g FROM (SELECT doc_id, list_sort(g) AS g FROM g) GROUP BY g),
+ e AS (SELECT rep, unnest(g) AS gram FROM c),
+ n AS (SELECT a.rep AS a, b.rep AS b, count(*) AS i FROM e a JOIN e b ON a.gram = b.gram AND a.rep <> b.rep GROUP BY ALL),
+ l AS (SELECT a, b FROM n JOIN c x ON x.rep = a JOIN c y ON y.rep = b WHERE 9 * i >= 4 * (len(x.g) + len(y.g))),
+ r AS (SELECT rep AS a, rep AS b FROM c UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+ k AS (SELECT a AS rep, min(b) AS class_id FROM r GROUP BY a),
+ d AS (SELECT l.a AS rep, sum(y.copies) AS links FROM l JOIN c y ON y.rep = l.b GROUP BY l.a)
+SELECT unnest(docs) AS doc_id, class_id, (copies - 1 + coalesce(links, 0))::BIGINT AS n_links, c.rep AS copy_of FROM c JOIN k USING (rep) LEFT JOIN d USING (rep)""",
     "op3_exact_topk": """
 WITH x AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda v: floor(1024 * v::DOUBLE)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
