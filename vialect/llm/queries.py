@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vialect.llm import bpe, langid, line_dedup, ngram_join, packing, quality, topk, url_filter
+from vialect.llm import bpe, fingerprints, langid, line_dedup, ngram_join, packing, quality, topk, url_filter
 from vialect.llm.common import table
 
 
@@ -15,6 +15,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -64,7 +68,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_exact_topk, op4_url_filter, op6_line_dedup, op7_packing, op8_quality_classifier, op9_language_id, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_ngram_join, op3_exact_topk, op4_url_filter, op6_line_dedup, op7_packing, op8_quality_classifier, op9_language_id, op10_bpe)}
 
 _SITES = ", ".join(f"('{r.text}', '{r.verdict}', '{r.text.split('/', 1)[0]}', '/{r.text.split('/', 1)[1]}')" for r in url_filter.SITE_RULES)
 _BLOCKED = " OR ".join(f"regexp_matches(host || path, '{r.pattern}')" for r in url_filter.PATTERN_RULES)
