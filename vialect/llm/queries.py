@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vialect.llm import bpe, fingerprints, langid, line_dedup, ngram_join, packing, quality, topk, url_filter
+from vialect.llm import bpe, fingerprints, html_extract, langid, line_dedup, ngram_join, packing, quality, topk, url_filter
 from vialect.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", line_dedup.sha256_hex(F.col("text")).alias("kept_sha256"))
@@ -68,7 +72,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_ngram_join, op3_exact_topk, op4_url_filter, op6_line_dedup, op7_packing, op8_quality_classifier, op9_language_id, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_ngram_join, op3_exact_topk, op4_url_filter, op5_html_extraction, op6_line_dedup, op7_packing, op8_quality_classifier, op9_language_id, op10_bpe)}
 
 _SITES = ", ".join(f"('{r.text}', '{r.verdict}', '{r.text.split('/', 1)[0]}', '/{r.text.split('/', 1)[1]}')" for r in url_filter.SITE_RULES)
 _BLOCKED = " OR ".join(f"regexp_matches(host || path, '{r.pattern}')" for r in url_filter.PATTERN_RULES)
