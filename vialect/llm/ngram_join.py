@@ -17,7 +17,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vialect.llm.common import arrow_batches, mix, written
@@ -112,8 +112,13 @@ def signature(grams: np.ndarray) -> tuple[int, int]:
     return tuple(int(p.astype(np.int64)) for p in parts)
 
 
+def text_hash(text: str) -> Column:
+    """Tells rows of one key but of different texts apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def signatures(docs: DataFrame, text: str, key: str, bands: Bands, n: int) -> DataFrame:
-    """doc, h1, h2 (the set's hash), n_grams and the band keys of every row."""
+    """doc, t (hash of the text), h1, h2 (the set's hash), n_grams and the band keys of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,12 +126,13 @@ def signatures(docs: DataFrame, text: str, key: str, bands: Bands, n: int) -> Da
             marks = [signature(s) for s in sets]
             keys = [bands(s) if len(s) else np.zeros(0, np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array([m[k] for m in marks], pa.int64()) for k in (0, 1)), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc", "h1", "h2", "n_grams", "keys"],
+                [batch.column(0), batch.column(2), *(pa.array([m[k] for m in marks], pa.int64()) for k in (0, 1)), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc", "t", "h1", "h2", "n_grams", "keys"],
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc"), F.col(text)).mapInArrow(run, f"doc {kind}, h1 long, h2 long, n_grams long, keys array<long>")
+    rows = docs.select(F.col(key).alias("doc"), F.col(text), text_hash(text).alias("t"))
+    return rows.mapInArrow(run, f"doc {kind}, t long, h1 long, h2 long, n_grams long, keys array<long>")
 
 
 def linked(sets: list[np.ndarray], split: int, threshold: Fraction) -> np.ndarray:
@@ -213,11 +219,12 @@ def _verify(rows: pd.DataFrame, n: int, threshold: Fraction) -> pd.DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = N, threshold: Fraction = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """A row for each row of ``docs``: its key, class_id, n_links and copy_of.
+    """A row for each row of ``docs``: its key, class_id, n_links, copy_of, text_hash and stays.
 
     ``class_id`` is the smallest key of those that links connect it with, ``copy_of`` the smallest key with its very set
     of n-grams, and ``n_links`` the number of other rows whose Jaccard similarity with it reaches the threshold. Texts
-    without words are copies of each other and linked with no others. Repeated rows count as copies; a null key stays null
+    without words are copies of each other and linked with no others. ``stays`` holds for the rows of one key and text of
+    each class: of the smallest key that isn't null, if there is one. Repeated rows count as copies; a null key stays null
     and never names a class unless all keys of the class are null. Pairs at the threshold are found with probability
     ``recall`` each, more similar ones more surely; what is reported has been verified.
     """
@@ -266,6 +273,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     roots = components(found.filter("root is not null").select(F.col("node").alias("a"), F.col("root").alias("b")))
     info = classes.select(F.col("h1").alias("node"), "h2", "rep", "copies").join(counts, "node", "left").join(roots, "node", "left")
     info = info.withColumn("root", F.coalesce("root", "node"))
-    names = info.groupBy("root").agg(F.min("rep").alias("class_id"))
-    info = info.join(names, "root").select(F.col("node").alias("h1"), "h2", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("rep").alias("copy_of"))
-    return marks.select("doc", "h1", "h2").join(info, ["h1", "h2"]).select(F.col("doc").cast(kind).alias(key), "class_id", "n_links", "copy_of")
+    info = info.join(info.groupBy("root").agg(F.min("rep").alias("class_id")), "root")
+    info = info.select(F.col("node").alias("h1"), "h2", "root", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("rep").alias("copy_of"))
+    rows = marks.select("doc", "t", "h1", "h2").join(info, ["h1", "h2"])
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("odd"), "doc", "t")).alias("first"))
+    out = rows.join(first, "root")
+    stays = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("t") == F.col("first.t"))
+    return out.select(F.col("doc").cast(kind).alias(key), "class_id", "n_links", "copy_of", F.col("t").alias("text_hash"), stays.alias("stays"))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", **options: Fraction | float) -> DataFrame:
+    """``docs`` with one row of each class of near duplicates; the columns are those of ``docs``."""
+    marked = near_duplicates(docs, text, key, **options).filter("stays").select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"))
+    marked = written(marked, "stay")
+    kept = docs.withColumn("_t", text_hash(text)).join(marked.distinct(), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_hash")), "left_semi")
+    total, distinct = marked.select(F.count(F.lit(1)), F.count_distinct(F.struct(F.coalesce(F.col("_key").cast("string"), F.lit("")), "_hash"))).head()
+    if total > distinct:  # rows that are repeated in key and text
+        kept = kept.dropDuplicates([key, "_t"])
+    return kept.drop("_t")
