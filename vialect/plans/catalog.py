@@ -1,6 +1,458 @@
-"""Every query over the reference operators, with the SQL that must give the same rows."""
+"""Every query over the reference operators, with the SQL that must give the same rows.
+
+The test tables have no streets, so queries read names from documents and parts, tags from the events' properties, and
+coordinates from embeddings. Each runs over its whole tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vialect.functions import geo, similarity, text
+from vialect.operators import clustering, enrich, evaluation, ground_truth, lengths, mappings, normalizers, spatial, tiles
+from vialect.operators.graph import stored
+from vialect.sources import files
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _title() -> Column:
+    return F.array_join(F.slice(F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), " "), 1, 3), " ")
+
+
+def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, name): the first words of each document."""
+    return _read(spark, sf_dir, "documents").select("doc_id", _title().alias("name"))
+
+
+def _part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, pos): each part name at its first key."""
+    return _read(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("pos"))
+
+
+def _street_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names as rows of a length table, in the order of falling length."""
+    parts = _read(spark, sf_dir, "part")
+    rows = parts.groupBy(F.col("p_name").alias("name")).agg(
+        F.round(F.sum("p_retailprice"), 2).alias("total_m"), F.count(F.lit(1)).alias("segments_count"), F.count_distinct("p_brand").alias("street_count")
+    )
+    return rows.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("total_m"), "name")) - 1)
+
+
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names as variants of brands, grouped by suffix stripping."""
+    names = _read(spark, sf_dir, "part").select(F.col("p_brand").alias("wikidata_id"), F.concat(F.lit("Label of "), "p_brand").alias("entity_label"), F.col("p_name").alias("name")).distinct()
+    return normalizers.by_suffix(names)
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named lines around one place from the embeddings: four points each, in Web Mercator."""
+    x = _read(spark, sf_dir, "embeddings")
+
+    def point(i: int) -> Column:
+        return F.struct((F.lit(1_900_000.0) + F.get("embedding", F.lit(i)).cast("double") * 4_000).alias("x"), (F.lit(6_200_000.0) + F.get("embedding", F.lit(i + 1)).cast("double") * 4_000).alias("y"))
+
+    tags = F.when(F.col("vec_id") % 3 == 0, F.create_map(F.lit("name:etymology:wikidata"), F.concat(F.lit("Q"), F.col("label").cast("string")))).otherwise(F.create_map().cast("map<string,string>"))
+    return x.select(
+        "vec_id", F.concat(F.lit("Road "), F.col("label").cast("string"), F.lit("-"), (F.col("vec_id") % 7).cast("string")).alias("name"),
+        F.when(F.col("vec_id") % 11 != 0, F.lit("residential")).alias("highway"), tags.alias("tags"), F.array(*[point(i) for i in (0, 2, 4, 6)]).alias("way"),
+    )
+
+
+def _tagged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as segments: the user is the name, and only properties under 50 are tags."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    tags = F.when(k < 50, F.create_map(F.lit("k"), k.cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    return _read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("name"), F.col("event_type").alias("highway"), tags.alias("tags"))
+
+
+def ascii_norm_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", text.ascii_norm(F.coalesce("text", F.lit(""))).alias("norm"))
+
+
+def ascii_norm_unicode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", text.ascii_norm_unicode(F.coalesce("text", F.lit(""))).alias("norm"))
+
+
+def preprocess_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _titles(spark, sf_dir).select("doc_id", text.preprocess_name(F.col("name")).alias("p"))
+
+
+def suffix_group_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _titles(spark, sf_dir).select("doc_id", text.suffix_key(F.col("name")).alias("group_id"))
+
+
+def ordinal_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("Namestie "), F.col("p_size").cast("string"), F.lit(". "), F.col("p_name"))
+    return _read(spark, sf_dir, "part").select("p_partkey", text.suffix_key(name).alias("group_id"))
+
+
+def word_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _titles(spark, sf_dir).select("doc_id", text.stem_word(F.col("name")).alias("stem"))
+
+
+def ngram_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _titles(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(similarity.ngrams(text.preprocess_name(F.col("name")))), ",").alias("grams"))
+
+
+def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stored(clustering.nodes(_part_names(spark, sf_dir)))
+    return clustering.jaccard_edges(found).select("i", "j", F.round("s", 6).alias("s"))
+
+
+def indel_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stored(clustering.nodes(_part_names(spark, sf_dir)))
+    return clustering.indel_edges(found).select("i", "j", F.round("s", 6).alias("s"))
+
+
+def leader_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.leader_jaccard(_part_names(spark, sf_dir)).select("name", "group_id", "is_leader")
+
+
+def leader_indel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.leader_indel(_part_names(spark, sf_dir)).select("name", "group_id", "is_leader")
+
+
+def leader_jaccard_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _titles(spark, sf_dir).withColumnRenamed("doc_id", "pos")
+    return clustering.leader_jaccard(names).groupBy("group_id").agg(F.count(F.lit(1)).alias("n_names"))
+
+
+def name_length_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_retailprice").alias("length_m"), F.col("p_brand").alias("cluster_id"))
+    return lengths.rollup(rows).withColumn("total_m", F.round("total_m", 2))
+
+
+def longest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top 10 of the rollup; the limit is the feature."""
+    return _street_rows(spark, sf_dir).orderBy(F.desc("total_m"), "name").limit(10).select("name", "total_m")
+
+
+def tag_coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.tag_counts(lengths.named(_tagged_events(spark, sf_dir)), F.try_element_at("tags", F.lit("k")))
+
+
+def untagged_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.untagged(_tagged_events(spark, sf_dir), "k")
+
+
+def metadata_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = _read(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.lit("old").alias("value"))
+    new = _read(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_name").alias("key"), F.concat(F.lit("new "), F.col("n_nationkey").cast("string")).alias("value"))
+    return lengths.upsert(old, new)
+
+
+def metadata_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.metadata_value(_read(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value")), "NATION_7")
+
+
+def group_rollup_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mappings.groups(normalizers.by_suffix(_street_rows(spark, sf_dir)))
+    return found.withColumn("variants", F.array_join("variants", "; "))
+
+
+def name_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mappings.mapping(normalizers.by_suffix(_street_rows(spark, sf_dir)))
+
+
+def mapping_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested result as it goes to JSON."""
+    return mappings.nested(normalizers.by_suffix(_street_rows(spark, sf_dir)), "suffix_stripping").select("method", F.to_json(F.struct("groups")).alias("groups_json"))
+
+
+def entity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.entity_scores(_assigned(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+def evaluation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = evaluation.summary(_assigned(spark, sf_dir))
+    return rates.withColumns({c: F.round(c, 6) for c in ("grouping_rate", "collision_rate")})
+
+
+def problem_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.problem_entities(_assigned(spark, sf_dir)).select("wikidata_id", "total_variants", "dominant_count", "unique_groups")
+
+
+def collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.collisions(_assigned(spark, sf_dir))
+
+
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.report(_assigned(spark, sf_dir), "suffix_stripping").select("method", F.to_json(F.struct("*")).alias("json"))
+
+
+def match_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = F.array(F.concat(F.initcap("p_type"), F.lit(" Ringova")), F.concat(F.lit("Old "), "p_brand"), F.lit("Gizmo Mesto"))
+    return _read(spark, sf_dir, "part").select("p_partkey", text.match_confidence(F.col("p_name"), labels, F.col("p_partkey") % 2 == 0).alias("confidence"))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.concat(F.lit("Q"), F.regexp_extract("p_brand", "[0-9]+", 0)).alias("wikidata_id")).distinct()
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records for the ids of even nations."""
+    n = F.col("n_nationkey")
+    labels = F.array(F.when(n % 3 == 0, "Red Bolt").when(n % 3 == 1, "Gear Town").otherwise("Small"), F.col("n_name"))
+    return _read(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select(
+        F.concat(F.lit("Q"), n.cast("string")).alias("qid"), labels.alias("labels"), F.array(F.lit("Q5")).alias("instance_of"), (n % 4 == 0).alias("is_human"), F.get(labels, F.lit(0)).alias("primary_label")
+    )
+
+
+def entity_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ground_truth.score(_pairs(spark, sf_dir), _entities(spark, sf_dir))
+
+
+def confidence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ground_truth.confidence_counts(entity_left_join(spark, sf_dir))
+
+
+def ground_truth_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ground_truth.grouped(entity_left_join(spark, sf_dir))
+
+
+def missing_entities_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ground_truth.missing(ground_truth.entity_ids(_pairs(spark, sf_dir)), _entities(spark, sf_dir))
+
+
+def tagged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ground_truth.pairs(_tagged_events(spark, sf_dir), "k")
+
+
+def parse_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    qid = F.concat(F.lit("Q"), F.col("s_suppkey").cast("string"))
+    payload = F.concat(
+        F.lit('{"entities":{"'), qid, F.lit('":{"labels":{"en":{"value":"'), "s_name", F.lit('"},"xx":{"value":"no"}},"aliases":{"sk":[{"value":"alias"},{"value":"'), "s_name",
+        F.lit('"}]},"claims":{"P31":[{"mainsnak":{"datavalue":{"value":{"id":"Q'), F.col("s_nationkey").cast("string"), F.lit('"}}}},{"mainsnak":{}}]}}}}'),
+    )
+    e = ground_truth.parse_entity(qid, payload)
+    out = _read(spark, sf_dir, "supplier").select(e.alias("e"))
+    return out.select("e.qid", F.array_join("e.labels", "|").alias("labels"), F.array_join("e.instance_of", "|").alias("instance_of"), "e.is_human", "e.primary_label")
+
+
+def split_join_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = _read(spark, sf_dir, "nation").groupBy("n_regionkey").agg(text.join_names(F.collect_list("n_name")).alias("names"))
+    return listed.select("n_regionkey", F.posexplode(text.split_names(F.replace("names", F.lit("; "), F.lit(" ;  ")))).alias("k", "name"))
+
+
+def lengths_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup written as CSV and read by position."""
+    import uuid
+
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "file:///tmp/checkpoints").rstrip("/")
+    path = f"{root}/csv/{uuid.uuid4().hex}"
+    files.write_csv(_street_rows(spark, sf_dir).select("name", "total_m", "segments_count", "street_count"), path)
+    return files.read_lengths(spark, path)
+
+
+def dbscan_street_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("name"), F.col("value").alias("x"), F.lit(0.0).alias("y"))
+    found = spatial.point_components(rows, 0.505).join(rows.select("id", "name"), "id")
+    return found.groupBy("name").agg(F.count_distinct("cluster_id").alias("street_count"), F.count(F.lit(1)).alias("n"))
+
+
+def segment_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def point(x: Column) -> Column:
+        return F.struct(x.alias("x"), F.lit(0.0).alias("y"))
+
+    x = F.col("o_totalprice")
+    rows = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("line_id"), F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("name"), F.array(point(x), point(x + 0.5)).alias("way"))
+    found = spatial.segment_components(rows, 5.005).join(rows.select("line_id", "name"), "line_id")
+    return found.groupBy("name").agg(F.count_distinct("cluster_id").alias("street_count"))
+
+
+def tile_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = (F.col("vec_id") % 15).cast("int")
+    e = geo.tile_envelope(z, F.col("vec_id") % 4, F.col("label"))
+    return _read(spark, sf_dir, "embeddings").select("vec_id", *[F.round(e[c], 4).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+
+
+def mercator_to_lonlat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = (F.get("embedding", F.lit(i)).cast("double") * 10_000_000 for i in (0, 1))
+    return _read(spark, sf_dir, "embeddings").select("vec_id", F.round(geo.longitude(x), 7).alias("lon"), F.round(geo.latitude(y), 7).alias("lat"))
+
+
+def haversine_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("vec_id", F.round(geo.haversine_length(F.col("way")), 3).alias("length_m"))
+
+
+def bbox_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounds = F.struct(F.lit(1_899_000.0).alias("xmin"), F.lit(6_199_000.0).alias("ymin"), F.lit(1_900_500.0).alias("xmax"), F.lit(6_200_500.0).alias("ymax"))
+    return _lines(spark, sf_dir).filter(geo.overlaps(geo.bbox(F.col("way")), bounds)).select("vec_id")
+
+
+def geodesic_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("vec_id", geo.geodesic_length("way").alias("length_m"))
+
+
+def street_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.street_lengths(_lines(spark, sf_dir))
+
+
+def mvt_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.tiles(tiles.features(_lines(spark, sf_dir), 12)).select("z", "x", "y", "n_features", F.sha2("mvt", 256).alias("mvt_sha256"))
+
+
+def llm_stub_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _part_names(spark, sf_dir)
+    cache = spark.createDataFrame([], "model string, name string, canonical string, updated_on string")
+    return enrich.assign(names, enrich.warm(names, cache, "stub", enrich.stub_reply), "stub").select("name", "group_id")
+
+
+def llm_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = enrich.batches(_part_names(spark, sf_dir))
+    return found.select("batch", F.size("names").alias("n"), F.get("names", F.lit(0)).alias("first_name"))
+
+
+def clean_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit("  \"'"), F.col("name"), F.lit("'\" \n and more"))
+    return _titles(spark, sf_dir).select("doc_id", text.clean_reply(raw).alias("cleaned"))
+
+
+def custom_normalizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _part_names(spark, sf_dir)
+    return normalizers.from_function(lambda name: name[:3])(names).select("name", "group_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        ascii_norm_documents, ascii_norm_unicode_documents, preprocess_names, suffix_group_keys, ordinal_keys, word_stems, ngram_sets, jaccard_pairs, indel_ratio_pairs, leader_jaccard, leader_indel,
+        leader_jaccard_titles, name_length_rollup, longest_names, tag_coverage_counts, untagged_distinct, metadata_upsert, metadata_value, group_rollup_representative, name_mapping, mapping_json, entity_scores,
+        evaluation_summary, problem_entities, collisions, evaluation_report, match_confidence, entity_left_join, confidence_counts, ground_truth_grouped, missing_entities_anti, tagged_pairs, parse_entities,
+        split_join_names, lengths_csv_round_trip, dbscan_street_count, segment_clusters, tile_envelope, mercator_to_lonlat, haversine_length, bbox_filter, geodesic_length, street_lengths, mvt_tiles,
+        llm_stub_batches, llm_batches, clean_replies, custom_normalizer,
+    )
+}
+
+# ---------------------------------------------------------------------------------------------------------------- SQL
+
+
+def _norm(s: str) -> str:
+    for long, short in text.LONG_FORMS.items():
+        s = f"replace({s}, '{long}', '{short}')" if "lower(" in s else f"replace(lower({s}), '{long}', '{short}')"
+    return f"trim(regexp_replace(strip_accents(translate({s}, 'øđðłħıŧſ', 'oddlhits')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+_TYPES = ", ".join(f"'{t}'" for t in text.STREET_TYPES)
+_TITLES = "titles AS (SELECT doc_id, array_to_string(string_split(replace(coalesce(text, ''), chr(10), ' '), ' ')[1:3], ' ') AS name FROM documents)"
+_WORDS = "list_filter(string_split({norm}, ' '), lambda t: t <> '')"
+_PROPER = f"list_filter({{w}}, lambda t: NOT list_contains([{_TYPES}], t) AND NOT regexp_full_match(t, '[a-z]'))"
+
+
+def _preprocessed(s: str) -> str:
+    return f"array_to_string({_PROPER.format(w=_WORDS.format(norm=_norm(s)))}, ' ')"
+
+
+def _stem(s: str, suffixes: tuple[str, ...]) -> str:
+    return rf"regexp_replace({s}, '^(.{{3,}}?)(?:{'|'.join(suffixes)})$', '\1')"
+
+
+def _keyed(source: str, keep: str) -> str:
+    """SQL of (keep, group_id) by suffix stripping over ``source`` with a column ``name``."""
+    last = _stem(_PROPER.format(w="w") + "[-1]", text.NAME_SUFFIXES)
+    good = f"list_filter(range(1, len(w)), lambda i: regexp_full_match(w[i], '[0-9]+') AND NOT list_contains([{_TYPES}], w[i + 1]) AND NOT regexp_full_match(w[i + 1], '[a-z]') AND length(w[i + 1]) >= 2)"
+    return f"""(SELECT {keep}, coalesce(CASE WHEN len(o) > 0 THEN w[o[1]] || '_' || w[o[1] + 1] END, {last}, '') AS group_id
+  FROM (SELECT *, {good} AS o FROM (SELECT *, {_WORDS.format(norm=_norm('name'))} AS w FROM {source})))"""
+
+
+_GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split(p, ' '), lambda t: t <> ''), lambda t: CASE WHEN length(t) < 3 THEN [t] ELSE list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)) END)))"
+_NODES = f"nodes AS (SELECT pos, name, p, {_GRAMS} AS g FROM (SELECT min(p_partkey) AS pos, p_name AS name, {_preprocessed('p_name')} AS p FROM part GROUP BY p_name) WHERE p <> '')"
+_COMMON = "len(list_intersect(a.g, b.g))"
+_JACCARD = f"e AS (SELECT a.pos AS i, b.pos AS j, {_COMMON} / (len(a.g) + len(b.g) - {_COMMON})::DOUBLE AS s FROM nodes a JOIN nodes b ON b.pos < a.pos), edges AS (SELECT * FROM e WHERE s >= 0.5)"
+_LCS = """list_reduce(list_transform(range(1, length(a.p) + 1), lambda i: [i]), lambda acc, x: list_reduce(list_transform(range(1, length(b.p) + 1), lambda j: [j]),
+  lambda r, y: list_append(r, CASE WHEN substr(a.p, x[1], 1) = substr(b.p, y[1], 1) THEN acc[y[1]] + 1 ELSE greatest(acc[y[1] + 1], r[-1]) END), [0::BIGINT]), list_transform(range(0, length(b.p) + 1), lambda k: 0::BIGINT))[-1]"""
+_INDEL = f"e AS (SELECT a.pos AS i, b.pos AS j, 2 * {_LCS} / (length(a.p) + length(b.p))::DOUBLE AS s FROM nodes a JOIN nodes b ON b.pos < a.pos), edges AS (SELECT * FROM e WHERE s >= 0.8)"
+_LEADERS = """, k AS (SELECT *, row_number() OVER (ORDER BY pos) AS k, coalesce((SELECT list(j) FROM edges WHERE i = pos), []) AS near FROM nodes),
+ run(k, reps) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT k.k, CASE WHEN len(list_intersect(near, reps)) = 0 THEN list_append(reps, pos) ELSE reps END FROM run JOIN k ON k.k = run.k + 1),
+ reps AS (SELECT unnest(arg_max(reps, k)) AS j FROM run),
+ best AS (SELECT i, arg_max(j, (s, -j)) AS j FROM edges JOIN reps USING (j) GROUP BY i),
+ led AS (SELECT name, pos, pos IN (SELECT j FROM reps) AS is_leader FROM nodes)
+SELECT led.name, t.p AS group_id, is_leader FROM led LEFT JOIN best ON best.i = led.pos JOIN nodes t ON t.pos = CASE WHEN is_leader THEN led.pos ELSE best.j END"""
+_STREETS = "streets AS (SELECT *, row_number() OVER (ORDER BY total_m DESC, name) - 1 AS pos FROM (SELECT p_name AS name, round(sum(p_retailprice), 2) AS total_m, count(*) AS segments_count, count(DISTINCT p_brand) AS street_count FROM part GROUP BY p_name))"
+_TAGGED = "tagged AS (SELECT user_id::VARCHAR AS name, CASE WHEN (props->>'$.k')::INT < 50 THEN props->>'$.k' END AS k FROM events)"
+_ASSIGNED = f"assigned AS (SELECT wikidata_id, 'Label of ' || wikidata_id AS entity_label, name, group_id FROM {_keyed('(SELECT DISTINCT p_brand AS wikidata_id, p_name AS name FROM part)', 'wikidata_id, name')})"
+_SCORES = "counts AS (SELECT wikidata_id, entity_label, group_id, count(*) AS n FROM assigned WHERE group_id <> '' GROUP BY ALL), scores AS (SELECT wikidata_id, entity_label, sum(n)::BIGINT AS total_variants, max(n) AS dominant_count, count(*) AS unique_groups, max(n) / sum(n) AS score FROM counts GROUP BY ALL)"
+_GROUPS = "groups AS (SELECT group_id, count(DISTINCT wikidata_id) AS n FROM assigned WHERE group_id <> '' GROUP BY group_id)"
+
+
+def _confidence(street: str, labels: str, human: str) -> str:
+    """SQL of the confidence of a street (an expression) for a list of labels."""
+    sn, ss = _norm(street), _stem(_norm(street), text.WORD_SUFFIXES)
+
+    def word(w: str, prefix: bool) -> str:
+        n = _norm(w)
+        st = _stem(n, text.WORD_SUFFIXES)
+        more = f" WHEN length({st}) >= 4 AND starts_with({ss}, substr({st}, 1, 4)) THEN 0.7" if prefix else ""
+        return f"CASE WHEN contains({sn}, {n}) THEN 1.0 WHEN length({st}) >= 3 AND contains({ss}, {st}) THEN 0.9{more} END"
+
+    whole = f"CASE WHEN contains({sn}, {_norm('l')}) OR contains({_norm('l')}, {sn}) THEN 1.0 END"
+    place = f"CASE WHEN NOT ({human}) THEN {word('string_split(l, chr(32))[1]', False)} END"
+    tests = f"list_transform({labels}, lambda l: list_concat([{whole}, {place}], list_transform(list_filter(string_split(l, ' '), lambda w: length(w) >= 3), lambda w: {word('w', True)})))"
+    return f"coalesce(list_filter(flatten({tests}), lambda c: c IS NOT NULL)[1]::DOUBLE, 0.0)"
+
+
+_PAIRS = "pairs AS (SELECT DISTINCT p_name AS name, 'Q' || regexp_extract(p_brand, '[0-9]+') AS wikidata_id FROM part)"
+_ENTITIES = """entities AS (SELECT 'Q' || n_nationkey AS qid, [CASE n_nationkey % 3 WHEN 0 THEN 'Red Bolt' WHEN 1 THEN 'Gear Town' ELSE 'Small' END, n_name] AS labels, n_nationkey % 4 = 0 AS is_human
+  FROM nation WHERE n_nationkey % 2 = 0)"""
+_SCORED = f"""{_PAIRS}, {_ENTITIES}, scored AS (SELECT name AS street_name, wikidata_id, coalesce(labels[1], wikidata_id) AS entity_label, is_human,
+  CASE WHEN qid IS NULL THEN 0.0 ELSE {_confidence('name', 'labels', 'is_human')} END AS confidence FROM pairs LEFT JOIN entities ON qid = wikidata_id)"""
+_POINTS = "points AS (SELECT vec_id, list_transform([1, 3, 5, 7], lambda i: 1900000.0::DOUBLE + embedding[i]::DOUBLE * 4000) AS xs, list_transform([2, 4, 6, 8], lambda i: 6200000.0::DOUBLE + embedding[i]::DOUBLE * 4000) AS ys FROM embeddings)"
+_R = geo.RADIUS
+_LEG = f"2 * {geo.MEAN_RADIUS} * asin(sqrt(least(1.0, pow(sin(radians(la[i + 1] - la[i]) / 2), 2) + cos(radians(la[i])) * cos(radians(la[i + 1])) * pow(sin(radians(lo[i + 1] - lo[i]) / 2), 2))))"
+
+ORACLES = {
+    "ascii_norm_documents": f"SELECT doc_id, {_norm('text_')} AS norm FROM (SELECT doc_id, coalesce(text, '') AS text_ FROM documents)",
+    "preprocess_names": f"WITH {_TITLES} SELECT doc_id, {_preprocessed('name')} AS p FROM titles",
+    "suffix_group_keys": f"WITH {_TITLES} SELECT * FROM {_keyed('titles', 'doc_id')}",
+    "ordinal_keys": "SELECT * FROM " + _keyed("(SELECT p_partkey, 'Namestie ' || p_size || '. ' || p_name AS name FROM part)", "p_partkey"),
+    "word_stems": f"WITH {_TITLES} SELECT doc_id, {_stem(_norm('name'), text.WORD_SUFFIXES)} AS stem FROM titles",
+    "ngram_sets": f"WITH {_TITLES}, t AS (SELECT doc_id, {_preprocessed('name')} AS p FROM titles) SELECT doc_id, array_to_string(list_sort({_GRAMS}), ',') AS grams FROM t",
+    "jaccard_pairs": f"WITH {_NODES}, {_JACCARD} SELECT i, j, round(s, 6) AS s FROM edges",
+    "indel_ratio_pairs": f"WITH {_NODES}, {_INDEL} SELECT i, j, round(s, 6) AS s FROM edges",
+    "leader_jaccard": f"WITH RECURSIVE {_NODES}, {_JACCARD}{_LEADERS}",
+    "leader_indel": f"WITH RECURSIVE {_NODES}, {_INDEL}{_LEADERS}",
+    "name_length_rollup": "SELECT p_name AS name, round(sum(p_retailprice), 2) AS total_m, count(*) AS segments_count, count(DISTINCT p_brand) AS street_count FROM part GROUP BY p_name",
+    "longest_names": f"WITH {_STREETS} SELECT name, total_m FROM streets WHERE pos < 10",
+    "tag_coverage_counts": f"WITH {_TAGGED} SELECT count(DISTINCT name) AS total_street_names, count(DISTINCT CASE WHEN k IS NOT NULL THEN name END) AS etymology_tagged FROM tagged",
+    "untagged_distinct": f"WITH {_TAGGED} SELECT DISTINCT name FROM tagged WHERE k IS NULL",
+    "tagged_pairs": f"WITH {_TAGGED} SELECT DISTINCT name, k AS wikidata_id FROM tagged WHERE k IS NOT NULL",
+    "metadata_upsert": "SELECT n_name AS key, CASE WHEN n_nationkey % 2 = 0 THEN 'new ' || n_nationkey ELSE 'old' END AS value FROM nation",
+    "metadata_value": "SELECT n_regionkey::VARCHAR AS value FROM nation WHERE n_name = 'NATION_7'",
+    "group_rollup_representative": f"""WITH {_STREETS} SELECT group_id, arg_max(name, (total_m, -pos)) FILTER (total_m > 0) AS representative, round_even(sum(total_m), 1) AS total_length, sum(segments_count)::BIGINT AS segment_count,
+  sum(street_count)::BIGINT AS street_count, string_agg(name, '; ' ORDER BY pos) AS variants FROM {_keyed('streets', '*')} WHERE group_id <> '' GROUP BY group_id""",
+    "name_mapping": f"WITH {_STREETS} SELECT name, group_id FROM {_keyed('streets', 'name')} WHERE group_id <> ''",
+    "entity_scores": f"WITH {_ASSIGNED}, {_SCORES} SELECT wikidata_id, entity_label, total_variants, dominant_count, unique_groups, round(score, 6) AS score FROM scores",
+    "evaluation_summary": f"""WITH {_ASSIGNED}, {_SCORES}, {_GROUPS} SELECT (SELECT round(avg(score), 6) FROM scores) AS grouping_rate, round(count(*) FILTER (n > 1) / count(*), 6) AS collision_rate,
+  (SELECT count(*) FROM scores) AS total_entities, (SELECT sum(total_variants)::BIGINT FROM scores) AS total_variants, count(*) AS total_groups, count(*) FILTER (n > 1) AS colliding_groups FROM groups""",
+    "problem_entities": f"WITH {_ASSIGNED}, {_SCORES} SELECT wikidata_id, total_variants, dominant_count, unique_groups FROM (SELECT * FROM scores ORDER BY score, wikidata_id LIMIT 10) WHERE score < 1",
+    "collisions": f"WITH {_ASSIGNED}, {_GROUPS} SELECT DISTINCT group_id, wikidata_id, entity_label AS label FROM assigned JOIN groups USING (group_id) WHERE n > 1",
+    "match_confidence": f"""WITH rows AS (SELECT p_partkey, p_name AS name, [upper(p_type[1]) || lower(p_type[2:]) || ' Ringova', 'Old ' || p_brand, 'Gizmo Mesto'] AS labels FROM part)
+SELECT p_partkey, {_confidence('name', 'labels', 'p_partkey % 2 = 0')} AS confidence FROM rows""",
+    "entity_left_join": f"WITH {_SCORED} SELECT * FROM scored",
+    "confidence_counts": f"WITH {_SCORED} SELECT count(*) FILTER (confidence >= 0.7) AS valid, count(*) FILTER (confidence < 0.7) AS excluded FROM scored",
+    "ground_truth_grouped": f"""WITH {_SCORED} SELECT wikidata_id, arg_min(entity_label, street_name) AS entity_label, arg_min(is_human, street_name) AS is_human,
+  string_agg(DISTINCT street_name, '; ' ORDER BY street_name) AS street_names FROM scored WHERE confidence >= 0.7 GROUP BY wikidata_id HAVING count(*) > 1""",
+    "missing_entities_anti": f"WITH {_PAIRS}, {_ENTITIES} SELECT DISTINCT wikidata_id AS qid FROM pairs WHERE wikidata_id NOT IN (SELECT qid FROM entities)",
+    "parse_entities": "SELECT 'Q' || s_suppkey AS qid, 'alias|' || s_name AS labels, 'Q' || s_nationkey AS instance_of, s_nationkey = 5 AS is_human, 'alias' AS primary_label FROM supplier",
+    "split_join_names": "SELECT n_regionkey, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1)::INT AS k, n_name AS name FROM nation",
+    "lengths_csv_round_trip": f"WITH {_STREETS} SELECT name, total_m, segments_count, street_count FROM streets",
+    "dbscan_street_count": """SELECT event_type AS name, count(*) FILTER (gap IS NULL OR gap > 0.505) AS street_count, count(*) AS n
+FROM (SELECT event_type, value - lag(value) OVER (PARTITION BY event_type ORDER BY value) AS gap FROM events) GROUP BY event_type""",
+    "segment_clusters": """SELECT name, count(*) FILTER (gap IS NULL OR gap > 5.505) AS street_count
+FROM (SELECT o_orderpriority || '/' || o_orderstatus AS name, o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_totalprice) AS gap FROM orders) GROUP BY name""",
+    "tile_envelope": f"""SELECT vec_id, round(x * s - {geo.WORLD} / 2, 4) AS xmin, round({geo.WORLD} / 2 - y * s - s, 4) AS ymin, round(x * s - {geo.WORLD} / 2 + s, 4) AS xmax, round({geo.WORLD} / 2 - y * s, 4) AS ymax
+FROM (SELECT vec_id, vec_id % 4 AS x, label AS y, {geo.WORLD}::DOUBLE / pow(2.0, vec_id % 15) AS s FROM embeddings)""",
+    "mercator_to_lonlat": f"""SELECT vec_id, round(degrees(embedding[1]::DOUBLE * 10000000 / {_R}::DOUBLE), 7) AS lon, round(degrees(2 * atan(exp(embedding[2]::DOUBLE * 10000000 / {_R}::DOUBLE)) - pi() / 2), 7) AS lat FROM embeddings""",
+    "haversine_length": f"""WITH {_POINTS}, deg AS (SELECT vec_id, list_transform(xs, lambda x: degrees(x / {_R}::DOUBLE)) AS lo, list_transform(ys, lambda y: degrees(2 * atan(exp(y / {_R}::DOUBLE)) - pi() / 2)) AS la FROM points)
+SELECT vec_id, round(list_sum(list_transform([1, 2, 3], lambda i: {_LEG})), 3) AS length_m FROM deg""",
+    "bbox_filter": f"WITH {_POINTS} SELECT vec_id FROM points WHERE list_min(xs) <= 1900500 AND list_max(xs) >= 1899000 AND list_min(ys) <= 6200500 AND list_max(ys) >= 6199000",
+    "llm_stub_batches": f"SELECT DISTINCT p_name AS name, {_norm('p_name')} AS group_id FROM part",
+    "llm_batches": "SELECT b AS batch, count(*)::INT AS n, min(name) AS first_name FROM (SELECT name, ((row_number() OVER (ORDER BY name) - 1) // 40)::BIGINT AS b FROM (SELECT DISTINCT p_name AS name FROM part)) GROUP BY b",
+    "clean_replies": f"WITH {_TITLES} SELECT doc_id, {_norm('name')} AS cleaned FROM titles",
+    "custom_normalizer": "SELECT DISTINCT p_name AS name, p_name[1:3] AS group_id FROM part",
+}
+ORACLES["ascii_norm_unicode_documents"] = ORACLES["ascii_norm_documents"]
