@@ -172,7 +172,7 @@ def linked(sets: list[np.ndarray], split: int, threshold: Fraction) -> np.ndarra
     p, q = threshold.numerator, threshold.denominator
     out = np.empty(common.shape, bool)
     for low in range(0, top, 256):
-        total = size[low : low + 256, None] + size[None, left:]
+        total = size[low : min(low + 256, top), None] + size[None, left:]
         out[low : low + 256] = (common[low : low + 256].astype(np.float64) * (p + q) >= p * total) & (total > 0)
     return out if split else np.triu(out, 1) | np.triu(out, 1).T
 
