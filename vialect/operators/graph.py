@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,16 +16,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, store: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """``edges`` (a, b of one ordered type) as (node, root): every node of an edge and the smallest of its component.
 
     Alternating large and small stars: neighbours are handed to the smallest node known, so the rounds grow with the
-    logarithm of the longest chain, and no group of neighbours is ever gathered in one place.
+    logarithm of the longest chain, and no group of neighbours is ever gathered in one place. ``store`` keeps the edges of
+    each round, so a lost executor costs a round at most; the rounds end when one changes nothing.
     """
-    edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = store(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
-        mark = tuple(edges.select(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).head())
+        mark = tuple(edges.select(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).head())
         if mark == before or not mark[0]:
             break
         before = mark
@@ -32,5 +35,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         handed = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        edges = stored(handed.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        edges = store(handed.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
