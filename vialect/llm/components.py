@@ -1,40 +1,13 @@
-"""Connected components of an edge list, by alternating large and small stars."""
+"""Connected components whose rounds are written as tables of the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from vialect.llm.common import written
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every node hands its larger neighbours on to the smallest node that it knows."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Every node hands its smaller neighbours, and itself, on to the smallest of them."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    handed = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
-    return handed.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+from vialect.operators import graph
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``edges`` (a long, b long) as (node, root): each node of an edge with the smallest node of its component.
-
-    Every round is written to the shared folder, so a lost executor costs a round at most. The rounds end when a round
-    changes nothing; their number grows with the logarithm of the longest chain.
-    """
-    edges = written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    while True:
-        mark = edges.select(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).head()
-        if mark == before or not mark[0]:
-            break
-        before = mark
-        edges = written(_small_star(_large_star(edges)), "edges")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    """``edges`` (a long, b long) as (node, root): each node of an edge with the smallest node of its component."""
+    return graph.components(edges, lambda rows: written(rows, "edges"))
