@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 
 import numpy as np
 import pytest
 
-from vialect.llm import fingerprints, html_extract, line_dedup, ngram_join, topk, url_filter
+from vialect.llm import common, fingerprints, html_extract, line_dedup, ngram_join, topk, url_filter
 
 ODD = [None, "", " ", "\n", "one", "one two three four", "same text\nsame text", "x" * 20_000]
 
@@ -205,6 +206,14 @@ def test_line_dedup_without_keys(spark):
     assert line_dedup.dedup_lines(rows.limit(0)).count() == 0
 
 
+def test_release(spark):
+    rows = common.written(spark.range(3), "kept")
+    path = common._MADE[-1].removeprefix("file:")
+    assert rows.count() == 3 and os.path.isdir(path)
+    common.release(spark)
+    assert not os.path.exists(path) and not common._MADE and not common._TABLES
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a='<p>x</p>';</script></head><body>
 <header><div class="logo">Site</div><nav><ul><li><a href="/">Home</a></li></ul></nav></header><div class="cookie-notice"><p>We use cookies.</p></div>
 <article><h1>The &amp; title</h1><p>First   <b>bold</b>

@@ -22,8 +22,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that this process has written to the shared one, and tables of the catalog over them.
+_MADE: list[str] = []
+_TABLES: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/vialect/{uuid.uuid4().hex}/{name}"
+    _MADE.append(f"{shared_dir(spark)}/vialect/{uuid.uuid4().hex}")
+    return f"{_MADE[-1]}/{name}"
+
+
+def named_table(name: str) -> str:
+    _TABLES.append(name)
+    return name
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the intermediate tables that this process has written; frames that read them can't be used any more."""
+    for name in _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    for folder in _MADE:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _MADE.clear()
+    _TABLES.clear()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vialect.llm.common import arrow_batches, new_path, written
+from vialect.llm.common import arrow_batches, named_table, new_path, written
 
 #: Runs of a level before they are merged; batches of the whole-table query; least code points of a key.
 FANOUT, BATCHES, LEAST = 2, 3, 10
@@ -41,7 +41,7 @@ class LineIndex:
         return [run for level in self.levels for run in level]
 
     def _run(self, rows: DataFrame) -> DataFrame:
-        name = f"line_run_{uuid.uuid4().hex}"
+        name = named_table(f"line_run_{uuid.uuid4().hex}")
         rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", new_path(self.spark, name)).saveAsTable(name)
         return self.spark.table(name)
 
