@@ -267,7 +267,7 @@ def segment_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tile_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = (F.col("vec_id") % 15).cast("int")
     e = geo.tile_envelope(z, F.col("vec_id") % 4, F.col("label"))
-    return _read(spark, sf_dir, "embeddings").select("vec_id", *[F.round(e[c], 4).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+    return _read(spark, sf_dir, "embeddings").select("vec_id", *[(F.round(e[c], 4) + F.lit(0.0)).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
 
 
 def mercator_to_lonlat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,7 +293,7 @@ def street_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mvt_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiles.tiles(tiles.features(_lines(spark, sf_dir), 12)).select("z", "x", "y", "n_features", F.sha2("mvt", 256).alias("mvt_sha256"))
+    return tiles.tiles(tiles.features(_lines(spark, sf_dir), 14)).select("z", "x", "y", "n_features", F.sha2("mvt", 256).alias("mvt_sha256"))
 
 
 def llm_stub_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -444,7 +444,7 @@ SELECT p_partkey, {_confidence('name', 'labels', 'p_partkey % 2 = 0')} AS confid
 FROM (SELECT event_type, value - lag(value) OVER (PARTITION BY event_type ORDER BY value) AS gap FROM events) GROUP BY event_type""",
     "segment_clusters": """SELECT name, count(*) FILTER (gap IS NULL OR gap > 5.505) AS street_count
 FROM (SELECT o_orderpriority || '/' || o_orderstatus AS name, o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_totalprice) AS gap FROM orders) GROUP BY name""",
-    "tile_envelope": f"""SELECT vec_id, round(x * s - {geo.WORLD} / 2, 4) AS xmin, round({geo.WORLD} / 2 - y * s - s, 4) AS ymin, round(x * s - {geo.WORLD} / 2 + s, 4) AS xmax, round({geo.WORLD} / 2 - y * s, 4) AS ymax
+    "tile_envelope": f"""SELECT vec_id, round(x * s - {geo.WORLD} / 2, 4) + 0::DOUBLE AS xmin, round({geo.WORLD} / 2 - y * s - s, 4) + 0::DOUBLE AS ymin, round(x * s - {geo.WORLD} / 2 + s, 4) + 0::DOUBLE AS xmax, round({geo.WORLD} / 2 - y * s, 4) + 0::DOUBLE AS ymax
 FROM (SELECT vec_id, vec_id % 4 AS x, label AS y, {geo.WORLD}::DOUBLE / pow(2.0, vec_id % 15) AS s FROM embeddings)""",
     "mercator_to_lonlat": f"""SELECT vec_id, round(degrees(embedding[1]::DOUBLE * 10000000 / {_R}::DOUBLE), 7) AS lon, round(degrees(2 * atan(exp(embedding[2]::DOUBLE * 10000000 / {_R}::DOUBLE)) - pi() / 2), 7) AS lat FROM embeddings""",
     "haversine_length": f"""WITH {_POINTS}, deg AS (SELECT vec_id, list_transform(xs, lambda x: degrees(x / {_R}::DOUBLE)) AS lo, list_transform(ys, lambda y: degrees(2 * atan(exp(y / {_R}::DOUBLE)) - pi() / 2)) AS la FROM points)
