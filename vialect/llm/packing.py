@@ -28,7 +28,7 @@ CAPACITY = 1024
 #: A rest may leave this share of its slot empty before it is cut again; pieces of at most so many tokens never are.
 SLACK, SMALL = 1 / 32, 16
 #: About so many pieces of a class make a group; so many groups' leftovers meet.
-GROUP, MEET = 8192, 64
+GROUP, MEET = 1024, 64
 #: Spaces-separated chunks that a worker remembers.
 CACHE = 300_000
 
