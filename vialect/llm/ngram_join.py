@@ -25,7 +25,7 @@ from vialect.llm.components import components
 
 N, THRESHOLD, RECALL, HASHES = 5, Fraction(4, 5), 0.9999, 200
 #: Most n-grams and classes, about, of a block; n-grams held by so many classes go into the matrix product.
-BLOCK_GRAMS, BLOCK_CLASSES, FREQUENT = 1_500_000, 3000, 48
+BLOCK_GRAMS, BLOCK_CLASSES, FREQUENT = 1_000_000, 2000, 48
 _BASE, _SEED = np.uint64(0x9E3779B97F4A7C15), 7
 _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
