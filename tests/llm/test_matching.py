@@ -105,7 +105,7 @@ def near_copies(rng, n):
     return out
 
 
-@pytest.mark.parametrize("block", [3000, 7])
+@pytest.mark.parametrize("block", [2000, 7])
 def test_near_duplicates(spark, block, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", block)
     monkeypatch.setattr(ngram_join, "FREQUENT", 5 if block == 7 else 48)
