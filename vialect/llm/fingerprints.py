@@ -14,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cells of a table of the fingerprint and of a dealt sketch (powers of two), tables, peeling steps (each takes one table), digests of a dealt sketch.
-CELLS, SMALL, TABLES, STEPS, LOAD = 8, 4, 3, 9, 5
+#: Cells of a table of the fingerprint and of a dealt sketch (powers of two), tables, peeling steps, digests of a dealt sketch.
+CELLS, SMALL, TABLES, STEPS, LOAD = 8, 4, 3, 4, 3
 #: Rows of a bucket of neighbours, about, and most buckets.
 BUCKET, BUCKETS = 2000, 16_384
 PARTS = r"\\n|(?<=[.!?,;:])\\s+"
@@ -46,13 +46,12 @@ def sketch(a: str, round_: int = 0, cells: int = CELLS) -> str:
 
 
 def _peeled(subtracted: str, round_: int, cells: int) -> str:
-    """(cells, out): what is left, and the signed digests that were recovered."""
-    pure = f"filter(slice(st.cells, {cells} * pmod(step, {TABLES}) + 1, {cells}), x -> abs(x.c) = 1 AND hash(x.k) = x.h)"
-    take = "if({at} = j, named_struct('c', acc.c - p.c, 'k', acc.k ^ p.k, 'h', acc.h ^ p.h), acc)"
+    """(cells, out): what is left, and the signed digests that were recovered. A step takes all pure cells at once."""
+    pure = "array_distinct(transform(filter(st.cells, x -> abs(x.c) = 1 AND hash(x.k) = x.h), x -> named_struct('s', x.c, 'k', x.k)))"
+    take = "if({at} = j, named_struct('c', acc.c - p.s, 'k', acc.k ^ p.k, 'h', acc.h ^ hash(p.k)), acc)"
     tables = (f"transform(slice(st.cells, {cells * t + 1}, {cells}), (x, j) -> aggregate(pure, x, (acc, p) -> {take.format(at=_cell('p.k', t, cells, round_))}))" for t in range(TABLES))
-    out = "concat(st.out, transform(pure, p -> named_struct('s', p.c, 'k', p.k)))"
-    step = _let("pure", pure, f"if(size(pure) = 0, st, named_struct('cells', concat({', '.join(tables)}), 'out', {out}))")
-    return f"aggregate(sequence(0, {STEPS - 1}), named_struct('cells', {subtracted}, 'out', {_NONE}), (st, step) -> {step})"
+    step = _let("pure", pure, f"if(size(pure) = 0, st, named_struct('cells', concat({', '.join(tables)}), 'out', concat(st.out, pure)))")
+    return f"aggregate(sequence(1, {STEPS}), named_struct('cells', {subtracted}, 'out', {_NONE}), (st, step) -> {step})"
 
 
 def _minus(a: str, b: str) -> str:
