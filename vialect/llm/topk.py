@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Segments of each resolution, coarse to fine; rows of a block of candidates and of queries; rows bounded at a time.
 SEGMENTS = (4, 16)
-CANDIDATES, QUERIES, CHUNK = 20_000, 2_000, 4096
+CANDIDATES, QUERIES, CHUNK = 5_000, 2_000, 2048
 SCALE = 1024
 
 
@@ -74,9 +74,10 @@ def top_k(df: DataFrame, key: str, vector: str, is_query: str, k: int = 10) -> D
     x = x.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~odd).dropDuplicates(["id", "v"])
     sizes = df.select(F.count(F.lit(1)), F.count_if(F.expr(is_query))).head()
     blocks, parts = -(-max(1, sizes[0]) // CANDIDATES), -(-max(1, sizes[1]) // QUERIES)
+    # Both sides need keys of one type: Spark deals an int and a long of the same value to different partitions.
     asks = x.withColumnRenamed("id", key).filter(is_query).withColumnRenamed(key, "id")
-    asks = asks.withColumn("_q", F.pmod(F.xxhash64("id", "v"), F.lit(parts))).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_n", F.size("v"))
-    held = x.withColumn("_c", F.pmod(F.xxhash64("id", "v"), F.lit(blocks))).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("_n", F.size("v"))
+    asks = asks.withColumn("_q", F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int")).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_n", F.size("v"))
+    held = x.withColumn("_c", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("_n", F.size("v"))
 
     def meet(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "match": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
