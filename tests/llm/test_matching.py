@@ -146,6 +146,22 @@ def test_top_k(spark):
     assert not got
 
 
+def test_top_k_over_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 20)
+    monkeypatch.setattr(topk, "QUERIES", 1)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in rng.normal(0, 0.3, 8)]) for i in range(201)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", "vec_id % 100 = 0").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    x = np.floor(1024 * np.array([v for _, v in rows]))
+    for q in (0, 100, 200):
+        scores = sorted((-int(x[q] @ x[i]), i) for i in range(201) if i != q)[:10]
+        assert sorted((r["rank"], r.vec_id, r.score) for r in out if r.query_id == q) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+
+
 def test_pruning_is_exact_and_prunes():
     rng = np.random.default_rng(6)
     centers = rng.normal(0, 300, (20, 64))
