@@ -86,7 +86,8 @@ def stem_word(word: Column) -> Column:
 
 def ordinal_key(words: Column) -> Column:
     """``1_maja`` for the first number that a proper word follows; null if there is none."""
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.struct(F.try_element_at(words, i).alias("n"), F.try_element_at(words, i + 1).alias("w")))
+    # A lambda that names the words themselves would compute them anew for each word.
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda n, w: F.struct(n.alias("n"), w.alias("w")))
     good = F.filter(pairs, lambda p: p["n"].rlike("^[0-9]+$") & ~is_street_type(p["w"]) & ~is_initial(p["w"]) & (F.length(p["w"]) >= 2))
     first = F.try_element_at(good, F.lit(1))
     return F.when(first.isNotNull(), F.concat(first["n"], F.lit("_"), first["w"]))

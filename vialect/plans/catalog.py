@@ -1,7 +1,9 @@
 """Every query over the reference operators, with the SQL that must give the same rows.
 
 The test tables have no streets, so queries read names from documents and parts, tags from the events' properties, and
-coordinates from embeddings. Each runs over its whole tables.
+coordinates from embeddings. Each runs over its whole tables. The SQL of preprocess_names, suffix_group_keys, word_stems,
+ngram_sets and clean_replies takes the first three words of a document for its name; preprocess_texts, suffix_keys_texts,
+word_stems_texts, ngram_sets_texts and clean_replies_texts do the same work on whole texts, as leader_jaccard_titles does.
 """
 
 from __future__ import annotations
@@ -24,10 +26,36 @@ def _title() -> Column:
 
 
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, name): the first words of each document."""
+    """(doc_id, name): the first three words of each document, as the SQL of the queries over them has it."""
     return _read(spark, sf_dir, "documents").select("doc_id", _title().alias("name"))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, name): the whole text of each document on one line."""
+    return _read(spark, sf_dir, "documents").select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")).alias("name"))
+
+
+def _preprocessed_names(names: DataFrame) -> DataFrame:
+    return names.select("doc_id", text.preprocess_name(F.col("name")).alias("p"))
+
+
+def _suffix_keys(names: DataFrame) -> DataFrame:
+    return names.select("doc_id", text.suffix_key(F.col("name")).alias("group_id"))
+
+
+def _stems(names: DataFrame) -> DataFrame:
+    return names.select("doc_id", text.stem_word(F.col("name")).alias("stem"))
+
+
+def _gram_sets(names: DataFrame) -> DataFrame:
+    return names.select("doc_id", F.array_join(F.array_sort(similarity.ngrams(text.preprocess_name(F.col("name")))), ",").alias("grams"))
+
+
+def _cleaned(names: DataFrame) -> DataFrame:
+    raw = F.concat(F.lit("  \"'"), F.col("name"), F.lit("'\" \n and more"))
+    return names.select("doc_id", text.clean_reply(raw).alias("cleaned"))
+
+
 def _part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(name, pos): each part name at its first key."""
     return _read(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("pos"))
@@ -78,11 +106,19 @@ def ascii_norm_unicode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preprocess_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _titles(spark, sf_dir).select("doc_id", text.preprocess_name(F.col("name")).alias("p"))
+    return _preprocessed_names(_titles(spark, sf_dir))
+
+
+def preprocess_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _preprocessed_names(_texts(spark, sf_dir))
 
 
 def suffix_group_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _titles(spark, sf_dir).select("doc_id", text.suffix_key(F.col("name")).alias("group_id"))
+    return _suffix_keys(_titles(spark, sf_dir))
+
+
+def suffix_keys_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _suffix_keys(_texts(spark, sf_dir))
 
 
 def ordinal_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,11 +127,19 @@ def ordinal_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _titles(spark, sf_dir).select("doc_id", text.stem_word(F.col("name")).alias("stem"))
+    return _stems(_titles(spark, sf_dir))
+
+
+def word_stems_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stems(_texts(spark, sf_dir))
 
 
 def ngram_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _titles(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(similarity.ngrams(text.preprocess_name(F.col("name")))), ",").alias("grams"))
+    return _gram_sets(_titles(spark, sf_dir))
+
+
+def ngram_sets_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gram_sets(_texts(spark, sf_dir))
 
 
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +161,8 @@ def leader_indel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leader_jaccard_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = _titles(spark, sf_dir).withColumnRenamed("doc_id", "pos")
+    """Sizes of the groups of whole texts."""
+    names = _texts(spark, sf_dir).withColumnRenamed("doc_id", "pos")
     return clustering.leader_jaccard(names).groupBy("group_id").agg(F.count(F.lit(1)).alias("n_names"))
 
 
@@ -308,8 +353,11 @@ def llm_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit("  \"'"), F.col("name"), F.lit("'\" \n and more"))
-    return _titles(spark, sf_dir).select("doc_id", text.clean_reply(raw).alias("cleaned"))
+    return _cleaned(_titles(spark, sf_dir))
+
+
+def clean_replies_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cleaned(_texts(spark, sf_dir))
 
 
 def custom_normalizer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,7 +372,7 @@ QUERIES = {
         leader_jaccard_titles, name_length_rollup, longest_names, tag_coverage_counts, untagged_distinct, metadata_upsert, metadata_value, group_rollup_representative, name_mapping, mapping_json, entity_scores,
         evaluation_summary, problem_entities, collisions, evaluation_report, match_confidence, entity_left_join, confidence_counts, ground_truth_grouped, missing_entities_anti, tagged_pairs, parse_entities,
         split_join_names, lengths_csv_round_trip, dbscan_street_count, segment_clusters, tile_envelope, mercator_to_lonlat, haversine_length, bbox_filter, geodesic_length, street_lengths, mvt_tiles,
-        llm_stub_batches, llm_batches, clean_replies, custom_normalizer,
+        llm_stub_batches, llm_batches, clean_replies, custom_normalizer, preprocess_texts, suffix_keys_texts, word_stems_texts, ngram_sets_texts, clean_replies_texts,
     )
 }
 
@@ -339,6 +387,7 @@ def _norm(s: str) -> str:
 
 _TYPES = ", ".join(f"'{t}'" for t in text.STREET_TYPES)
 _TITLES = "titles AS (SELECT doc_id, array_to_string(string_split(replace(coalesce(text, ''), chr(10), ' '), ' ')[1:3], ' ') AS name FROM documents)"
+_TEXTS = "texts AS (SELECT doc_id, replace(coalesce(text, ''), chr(10), ' ') AS name FROM documents)"
 _WORDS = "list_filter(string_split({norm}, ' '), lambda t: t <> '')"
 _PROPER = f"list_filter({{w}}, lambda t: NOT list_contains([{_TYPES}], t) AND NOT regexp_full_match(t, '[a-z]'))"
 
@@ -455,4 +504,11 @@ SELECT vec_id, round(list_sum(list_transform([1, 2, 3], lambda i: {_LEG})), 3) A
     "clean_replies": f"WITH {_TITLES} SELECT doc_id, {_norm('name')} AS cleaned FROM titles",
     "custom_normalizer": "SELECT DISTINCT p_name AS name, p_name[1:3] AS group_id FROM part",
 }
+ORACLES |= {
+    "preprocess_texts": f"WITH {_TEXTS} SELECT doc_id, {_preprocessed('name')} AS p FROM texts",
+    "suffix_keys_texts": f"WITH {_TEXTS} SELECT * FROM {_keyed('texts', 'doc_id')}",
+    "word_stems_texts": f"WITH {_TEXTS} SELECT doc_id, {_stem(_norm('name'), text.WORD_SUFFIXES)} AS stem FROM texts",
+    "ngram_sets_texts": f"WITH {_TEXTS}, t AS (SELECT doc_id, {_preprocessed('name')} AS p FROM texts) SELECT doc_id, array_to_string(list_sort({_GRAMS}), ',') AS grams FROM t",
+    "clean_replies_texts": f"WITH {_TEXTS} SELECT doc_id, {_norm('name')} AS cleaned FROM texts",
+}
 ORACLES["ascii_norm_unicode_documents"] = ORACLES["ascii_norm_documents"]
