@@ -190,6 +190,15 @@ def metadata_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.upsert(old, new)
 
 
+def metadata_upsert_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region names keep their rows, nation names are updated, supplier names are added."""
+    nation = _read(spark, sf_dir, "nation")
+    old = nation.select(F.col("n_name").alias("key")).unionByName(_read(spark, sf_dir, "region").select(F.col("r_name").alias("key"))).withColumn("value", F.lit("old"))
+    new = nation.select(F.col("n_name").alias("key"), F.concat(F.lit("new "), F.col("n_nationkey").cast("string")).alias("value"))
+    more = _read(spark, sf_dir, "supplier").select(F.col("s_name").alias("key"), F.concat(F.lit("new "), F.col("s_suppkey").cast("string")).alias("value"))
+    return lengths.upsert(old, new.unionByName(more))
+
+
 def metadata_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.metadata_value(_read(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value")), "NATION_7")
 
@@ -238,15 +247,24 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.concat(F.lit("Q"), F.regexp_extract("p_brand", "[0-9]+", 0)).alias("wikidata_id")).distinct()
 
 
-def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records for the ids of even nations."""
+def _records(nations: DataFrame) -> DataFrame:
     n = F.col("n_nationkey")
     labels = F.array(F.when(n % 3 == 0, "Red Bolt").when(n % 3 == 1, "Gear Town").otherwise("Small"), F.col("n_name"))
-    return _read(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select(
+    return nations.select(
         F.concat(F.lit("Q"), n.cast("string")).alias("qid"), labels.alias("labels"), F.array(F.lit("Q5")).alias("instance_of"), (n % 4 == 0).alias("is_human"), F.get(labels, F.lit(0)).alias("primary_label")
     )
 
 
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records for the ids of even nations, as the SQL of the queries over them has it."""
+    return _records(_read(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0"))
+
+
+def _all_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records for the ids of all nations; those of the brands go beyond them, so some have none."""
+    return _records(_read(spark, sf_dir, "nation"))
+
+
 def entity_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ground_truth.score(_pairs(spark, sf_dir), _entities(spark, sf_dir))
 
@@ -263,6 +281,22 @@ def missing_entities_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ground_truth.missing(ground_truth.entity_ids(_pairs(spark, sf_dir)), _entities(spark, sf_dir))
 
 
+def entity_left_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ground_truth.score(_pairs(spark, sf_dir), _all_entities(spark, sf_dir))
+
+
+def confidence_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ground_truth.confidence_counts(entity_left_join_all(spark, sf_dir))
+
+
+def ground_truth_grouped_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ground_truth.grouped(entity_left_join_all(spark, sf_dir))
+
+
+def missing_entities_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ground_truth.missing(ground_truth.entity_ids(_pairs(spark, sf_dir)), _all_entities(spark, sf_dir))
+
+
 def tagged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ground_truth.pairs(_tagged_events(spark, sf_dir), "k")
 
@@ -373,6 +407,7 @@ QUERIES = {
         evaluation_summary, problem_entities, collisions, evaluation_report, match_confidence, entity_left_join, confidence_counts, ground_truth_grouped, missing_entities_anti, tagged_pairs, parse_entities,
         split_join_names, lengths_csv_round_trip, dbscan_street_count, segment_clusters, tile_envelope, mercator_to_lonlat, haversine_length, bbox_filter, geodesic_length, street_lengths, mvt_tiles,
         llm_stub_batches, llm_batches, clean_replies, custom_normalizer, preprocess_texts, suffix_keys_texts, word_stems_texts, ngram_sets_texts, clean_replies_texts,
+        metadata_upsert_all, entity_left_join_all, confidence_counts_all, ground_truth_grouped_all, missing_entities_all,
     )
 }
 
@@ -449,6 +484,7 @@ _ENTITIES = """entities AS (SELECT 'Q' || n_nationkey AS qid, [CASE n_nationkey
   FROM nation WHERE n_nationkey % 2 = 0)"""
 _SCORED = f"""{_PAIRS}, {_ENTITIES}, scored AS (SELECT name AS street_name, wikidata_id, coalesce(labels[1], wikidata_id) AS entity_label, is_human,
   CASE WHEN qid IS NULL THEN 0.0 ELSE {_confidence('name', 'labels', 'is_human')} END AS confidence FROM pairs LEFT JOIN entities ON qid = wikidata_id)"""
+_ALL_ENTITIES = _ENTITIES.replace("\n  FROM nation WHERE n_nationkey % 2 = 0", "\n  FROM nation")
 _POINTS = "points AS (SELECT vec_id, list_transform([1, 3, 5, 7], lambda i: 1900000.0::DOUBLE + embedding[i]::DOUBLE * 4000) AS xs, list_transform([2, 4, 6, 8], lambda i: 6200000.0::DOUBLE + embedding[i]::DOUBLE * 4000) AS ys FROM embeddings)"
 _R = geo.RADIUS
 _LEG = f"2 * {geo.MEAN_RADIUS} * asin(sqrt(least(1.0, pow(sin(radians(la[i + 1] - la[i]) / 2), 2) + cos(radians(la[i])) * cos(radians(la[i + 1])) * pow(sin(radians(lo[i + 1] - lo[i]) / 2), 2))))"
@@ -511,4 +547,9 @@ ORACLES |= {
     "ngram_sets_texts": f"WITH {_TEXTS}, t AS (SELECT doc_id, {_preprocessed('name')} AS p FROM texts) SELECT doc_id, array_to_string(list_sort({_GRAMS}), ',') AS grams FROM t",
     "clean_replies_texts": f"WITH {_TEXTS} SELECT doc_id, {_norm('name')} AS cleaned FROM texts",
 }
+ORACLES["metadata_upsert_all"] = """SELECT r_name AS key, 'old' AS value FROM region UNION ALL SELECT n_name, 'new ' || n_nationkey FROM nation UNION ALL SELECT s_name, 'new ' || s_suppkey FROM supplier"""
+ORACLES |= {
+    f"{new}_all": ORACLES[old].replace(_ENTITIES, _ALL_ENTITIES)
+    for new, old in (("entity_left_join", "entity_left_join"), ("confidence_counts", "confidence_counts"), ("ground_truth_grouped", "ground_truth_grouped"), ("missing_entities", "missing_entities_anti"))
+}
 ORACLES["ascii_norm_unicode_documents"] = ORACLES["ascii_norm_documents"]
