@@ -25,7 +25,16 @@ from vialect.llm.common import arrow_batches
 #: Tags that don't end a block, tags without content, tags whose content is no text of the page, and what ends what.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select canvas".split())
+RAW = frozenset("script style textarea title template select".split())
+#: Tags of formulas and drawings, which stand in a line and may close themselves; of these and the skipped ones, those that part words.
+FOREIGN = frozenset(
+    (
+        "math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation annotation-xml "
+        "svg g defs symbol use text tspan textpath desc metadata path rect circle ellipse line polyline polygon image lineargradient radialgradient stop clippath mask pattern marker filter"
+    ).split()
+)
+INLINE |= FOREIGN | {"object", "canvas", "noscript", "iframe"}
+PARTED = frozenset("textarea select text desc mtd mtr".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 P_ENDS = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: Names in a tag path that have a place of their own; all others share hashed ones.
@@ -124,8 +133,8 @@ def blocks(html: str) -> list[Block]:
             continue
         tag = tag.lower()
         if not closing and tag in RAW:
-            if tag not in INLINE:
-                flush()
+            if tag in PARTED:
+                parts.append(" ")
             if not attributes.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                 at = end.end() if end else (len(html) if tag in ("script", "style", "textarea", "title") else at)
@@ -133,6 +142,8 @@ def blocks(html: str) -> list[Block]:
         if tag == "br":
             parts.append(" ")
             continue
+        if tag in PARTED:
+            parts.append(" ")
         if tag not in INLINE:
             flush()
         if closing:
@@ -143,7 +154,7 @@ def blocks(html: str) -> list[Block]:
                 if tag in INLINE and stack[k][0] not in INLINE:
                     break
             continue
-        if tag in VOID:
+        if tag in VOID or tag in FOREIGN and attributes.endswith("/"):
             continue
         if tag in P_ENDS:
             ends: tuple[str, ...] = ("p",)
