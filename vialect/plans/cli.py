@@ -22,7 +22,8 @@ def compute(spark: SparkSession, lines: str, out: str, untagged: str, limit: int
     if out:
         files.write_csv(rows, out)
     else:
-        print("\n".join(files.printed(rows, limit or 1 << 20)))
+        for line in files.report(rows):
+            print(line)
     files.write_csv(lengths.untagged(table), untagged)
 
 

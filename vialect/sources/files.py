@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +63,12 @@ def append_cache(new: DataFrame, path: str) -> None:
     new.write.mode("append").parquet(path)
 
 
-def printed(lengths: DataFrame, n: int = 20) -> list[str]:
-    """Lines of a report: metres to three places, counts and names."""
+def report(lengths: DataFrame) -> Iterator[str]:
+    """Lines of a report, a partition at a time: metres to three places, counts and names."""
     text = F.format_string("%.3f m | %d segments | %d streets | %s", "total_m", "segments_count", "street_count", F.coalesce("name", F.lit("<NULL>")))
-    return [r[0] for r in lengths.limit(n).select(text).collect()]
+    return (r[0] for r in lengths.select(text).toLocalIterator())
+
+
+def printed(lengths: DataFrame, n: int = 20) -> list[str]:
+    """The first lines of a report."""
+    return list(report(lengths.limit(n)))
