@@ -21,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is one of those learned; those without a letter have none."""
+    """Keeps every document with a letter, whatever its language: the nearest one learned is always named. Others are dropped."""
     model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
     return langid.predict(docs, model).filter("lang_pred <> 'und'").select(*docs.columns)
 
