@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
 import random
 import re
+import struct
 
 import numpy as np
 import pytest
@@ -63,15 +65,78 @@ def test_fingerprints_in_buckets(spark, monkeypatch):
     assert [r.next_text for r in got if r.doc_id is None] == ["b"]
 
 
+def decoded(fingerprint):
+    """Peels a printed sketch alone: its digests, by a plain loop over (table, cell)."""
+    raw = base64.b64decode(fingerprint)
+    cells = {}
+    for at in range(0, len(raw), 22):
+        i, c, k, h = struct.unpack(">IHQQ", raw[at : at + 22])
+        cells[i] = [c, k, h]
+    out = set()
+    while any(cell[0] for cell in cells.values()):
+        k, h = next((k, h) for c, k, h in cells.values() if c == 1)
+        hit = [i for i, cell in cells.items() if cell[0] and (cell[1], cell[2]) == (k, h) or cell[0] > 1]
+        assert k not in out and len(hit) >= 3
+        out.add(k)
+        for i in [i for i in hit if cells[i][0] == 1][:3]:
+            cells[i] = [0, 0, 0]
+    return out
+
+
+def test_likeness_follows_from_the_printed_fingerprints(spark, monkeypatch):
+    """No round for all pairs at once: then every pair is settled by ``likeness``. The strings alone give the same values."""
+    rng = random.Random(12)
+    base = [prose(rng, 5) + "." for _ in range(60)]
+    texts = ["\n".join([*rng.sample(base, rng.randint(0, 40)), *(prose(rng, 4) for _ in range(rng.randint(0, 30)))]) for _ in range(25)] + ODD
+    rows = frame(spark, texts)
+    first = {r.doc_id: r for r in fingerprints.edited_fingerprints(rows).collect()}
+    monkeypatch.setattr(fingerprints, "ROUNDS", ())
+    assert {r.doc_id: r for r in fingerprints.edited_fingerprints(rows).collect()} == first
+    for i, r in first.items():
+        a, e = decoded(r.fingerprint), decoded(r.edited_fingerprint)
+        assert len(a) == len(parts(texts[i])) and r.near_edited == pytest.approx(len(a & e) / len(a | e) if a | e else 1.0)
+        n = decoded(first[i - 1 if i else len(texts) - 1].fingerprint)
+        assert r.near_next == pytest.approx(len(a & n) / len(a | n) if a | n else 1.0)
+
+
+def test_smallest_sketches_are_doubled(spark, monkeypatch):
+    """With one cell a table to begin with, every pair that differs has to go on to larger sizes."""
+    rng = random.Random(13)
+    texts = [prose(rng, n) for n in (1, 2, 9, 40, 90)]
+    rows = frame(spark, texts)
+    want = {r.doc_id: r for r in fingerprints.edited_fingerprints(rows).collect()}
+    monkeypatch.setattr(fingerprints, "_size", lambda digests: "0")
+    assert {r.doc_id: r for r in fingerprints.edited_fingerprints(rows).collect()} == want
+
+
+def test_equal_cells_of_a_sketch_are_added(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "WIDEST", 4)
+    r = spark.sql(f"SELECT {fingerprints.sketch('transform(sequence(1L, 40L), x -> xxhash64(x))')} AS s").head().s
+    assert sum(x.c for x in r) == 120 and len({x.i for x in r}) == len(r) <= 48
+
+
 def test_recovered_digests(spark):
     rng = random.Random(2)
     a = [prose(rng, 4) + "." for _ in range(80)]
-    rows = spark.createDataFrame([("\n".join(a), "\n".join([*a[:70], "new one", "new two"]), "clash")], "a string, b string, near string")
-    r = fingerprints.compare(rows, "a", "b").head()
+    rows = spark.createDataFrame([("\n".join(a), "\n".join([*a[:70], "new one", "new two"]))], "a string, b string")
+    prints = rows.select(fingerprints.fingerprint("a").alias("a"), fingerprints.fingerprint("b").alias("b"))
+    r = prints.select(fingerprints.difference("a", "b").alias("changed"), fingerprints.likeness("a", "b").alias("near")).head()
     x, y = parts(rows.head().a), parts(rows.head().b)
     assert sorted(c.s for c in r.changed) == [-1] * len(y - x) + [1] * len(x - y) and r.near == pytest.approx(len(x & y) / len(x | y))
 
 
+def test_fingerprints_of_clashing_columns(spark):
+    """Names that the operator uses itself; repeated rows; rows without key; one very long text."""
+    rng = random.Random(14)
+    long = prose(rng, 30_000)
+    rows = [(1, "a, b. c", "x", 0), (1, "a, b. c", "x", 0), (None, "tail", "x", 0), (7, long, "x", 0), (9, None, "x", 0)]
+    got = fingerprints.edited_fingerprints(spark.createDataFrame(rows, "bucket long, doc string, at string, tail int"), "doc", "bucket").collect()
+    assert sorted(str(r.bucket) for r in got) == ["1", "1", "7", "9", "None"]
+    assert len({r.fingerprint for r in got if r.bucket == 1}) == 1
+    after = fingerprints.with_next(spark.createDataFrame(rows, "bucket long, row string, at string, next_row int"), "bucket", ["row"])
+    assert after.columns == ["bucket", "row", "at", "next_row"] and {r.next_row for r in after.collect() if r.bucket == 9} == {long}
+
+
 def grams(t, n=5):
     w = (t or "").lower().split()
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
