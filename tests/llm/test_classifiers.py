@@ -60,30 +60,53 @@ def slow_bits(counts, text, size=257):
     return total
 
 
-def test_code_lengths_follow_escapes():
-    train = ["the cat sat on the mat", "a cat", "then"]
-    data, offsets = langid.utf8(pa.array(train))
+def trained(texts):
+    data, offsets = langid.utf8(pa.array(texts))
     grams, n = np.unique(langid._grams(data, offsets), return_counts=True)
-    model = langid.compiled({"x": (grams.astype(np.int64), n.astype(float))}, 10_000)
+    return langid.compiled(grams.astype(np.int64), n.astype(float))
+
+
+def counted(texts):
     counts: dict[bytes, dict[int, int]] = {}
-    for t in train:
+    for t in texts:
         for i, x in enumerate(t.encode()):
             context = t.encode()[max(0, i - 3) : i].rjust(3, b"\0")
             for order in range(4):
                 at = counts.setdefault(context[3 - order :], {})
                 at[x] = at.get(x, 0) + 1
+    return counts
+
+
+def test_code_lengths_follow_escapes():
+    train = ["the cat sat on the mat", "a cat", "then"]
+    model = langid.Model(["x"], [langid._unpacked(langid._packed(trained(train)))])
     for t in ["the cat", "a mat on", "thq cat", "", "zz top"]:
         got = langid.code_lengths(model, *langid.utf8(pa.array([t, t])))
-        assert got[0, 0] == pytest.approx(slow_bits(counts, t), rel=1e-4) and got[1, 0] == pytest.approx(got[0, 0])
+        assert got[0, 0] == pytest.approx(slow_bits(counted(train), t), rel=1e-5) and got[1, 0] == pytest.approx(got[0, 0])
 
 
 def test_windows_don_t_change_code_lengths(words, monkeypatch):
     data, offsets = langid.utf8(pa.array([t for _, t, lang in texts(words, 60, 3, False)]))
-    grams, n = np.unique(langid._grams(data, offsets), return_counts=True)
-    model = langid.compiled({"x": (grams.astype(np.int64), n.astype(float))}, 500)
+    model = langid.Model(["x"], [trained([t for _, t, lang in texts(words, 9, 4, False)])])
     whole = langid.code_lengths(model, data, offsets)
-    monkeypatch.setattr(langid, "WINDOW", 37)
-    assert np.allclose(langid.code_lengths(model, data, offsets), whole, rtol=1e-5)
+    for window in (37, 1):
+        monkeypatch.setattr(langid, "WINDOW", window)
+        assert np.allclose(langid.code_lengths(model, data, offsets), whole, rtol=1e-9)
+
+
+def test_predictions_of_many_languages_equal_brute_force(spark):
+    """200 languages of a few documents each: the prediction is the language of the least code length, ties to the first."""
+    rng = random.Random(21)
+    made = {f"l{k:03}": ["".join(chr(97 + rng.randrange(26)) for _ in range(rng.randint(2, 6))) for _ in range(6)] for k in range(200)}
+    docs = [(i, " ".join(rng.choice(made[lang]) for _ in range(12)), lang) for i, lang in enumerate(sorted(made) * 2)]
+    model = langid.fit(spark.createDataFrame([*docs, (900, None, "none"), (901, "", "empty"), (902, "x", None)], "doc_id long, text string, lang string"))
+    assert model.langs == sorted(made)
+    asked = docs[::29]
+    trees = {lang: counted([t for _, t, x in docs if x == lang]) for lang in made}
+    out = {r.doc_id: r.lang_pred for r in langid.predict(spark.createDataFrame(asked, "doc_id long, text string, lang string"), model).collect()}
+    for i, t, _ in asked:
+        bits = {lang: slow_bits(c, t) for lang, c in trees.items()}
+        assert bits[out[i]] == pytest.approx(min(bits.values()), rel=1e-5)
 
 
 def test_quality(spark, words):
@@ -123,6 +146,28 @@ def test_bpe_equals_the_library(spark, words):
         assert out[i].decoded == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_every_code_point_equals_the_library():
+    path = tokenizer("word_bpe_49k.json")
+    lib, encoder = reference(path), bpe.Encoder(bpe.Tokenizer(path), bpe.Automaton.build({}))
+    chars = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE0200), 0x10FFFF)]
+    for shown in (lambda c: c, lambda c: f"a{c}b {c}x"):
+        texts = [shown(c) for c in chars]
+        got = encoder.encode(texts)
+        assert [t for t, g, w in zip(texts, got, lib.encode_batch(texts, add_special_tokens=False), strict=True) if np.frombuffer(g, "<u4").tolist() != w.ids] == []
+
+
+def test_other_tokenizer_files_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="unknown"):
+        bpe.Tokenizer(tokenizer("byte_bpe_50k.json"))
+    with pytest.raises(ValueError, match="unknown"):
+        packing.ByteEncoder(tokenizer("word_bpe_49k.json"))
+
+
+def test_bpe_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, decoded string")
+    assert bpe.encoded(docs, tokenizer("word_bpe_49k.json")).columns == ["doc_id", "text", "ids", "decoded"] and bpe.encoded(docs, tokenizer("word_bpe_49k.json")).count() == 0
+
+
 def test_automaton(tmp_path):
     words = {w.encode(): [k, len(w)] for k, w in enumerate(["a", "ab", "abc", "xbc", "xb", "é", "tion", "nation", "station"])}
     a = bpe.Automaton.build(words)

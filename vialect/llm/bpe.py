@@ -9,9 +9,11 @@ model and remembered for a while. No token reaches over white space, so chunks c
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
 import re
+import shutil
 import tempfile
 import unicodedata
 import uuid
@@ -28,9 +30,11 @@ from vialect.llm.common import arrow_batches, written
 
 #: Words of the lexicon, most bytes of one, and chunks that a worker counts or remembers before it starts anew.
 WORDS, LONGEST, KEEP = 65_536, 40, 200_000
-#: White space as the tokenizer's patterns see it; str.split() also splits at U+001C to U+001F.
+#: White space as the tokenizer's patterns see it.
 _SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
-_ODD = re.compile(r"[\x1c-\x1f]")
+#: What the tokenizer file must say for the splitting here to be its own.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
 
 
 class Automaton:
@@ -135,8 +139,16 @@ class Automaton:
         return out
 
 
+def _normal(c: str) -> str:
+    return unicodedata.normalize("NFC", c).lower()
+
+
 class Tokenizer:
-    """The file's normalization and splitting at white space here; merges by its own model, without normalizing again."""
+    """The file's normalization, splitting at white space, and merges by its own model without normalizing again.
+
+    Texts of characters for which Python agrees with the library, and which never combine, are normalized by Python; all
+    others by the library itself, whose tables of Unicode may be newer. A file of another make is refused.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -144,12 +156,18 @@ class Tokenizer:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        splits = [p for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        if spec["normalizer"] != NORMALIZER or not splits or splits[0].get("pattern") != PATTERN or spec["decoder"] is not None:
+            raise ValueError(f"{path}: unknown normalizer, pre-tokenizer or decoder")
+        self.normalizer = tokenizers.Tokenizer.from_file(path).normalizer
         spec["normalizer"] = None
         self.model = tokenizers.Tokenizer.from_str(json.dumps(spec))
         self.model.encode_special_tokens = True
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.tokens = [self.model.id_to_token(i) for i in range(self.model.get_vocab_size(with_added_tokens=True))]
+        same = "".join(c for c in map(chr, (*range(0x20, 0x7F), *range(0xA1, 0x300), *range(0x2010, 0x2028))) if self.normalizer.normalize_str(c) == _normal(c))
+        self.strange = re.compile(f"[^\\t-\\r{re.escape(same)}]")
 
     def chunks(self, text: str) -> list:
         """The normalized chunks of a text; a special token is its id."""
@@ -162,12 +180,9 @@ class Tokenizer:
         return self._split(text)
 
     def _split(self, text: str) -> list[str]:
-        if not text.isascii():
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
-            text = text.replace("Σ", "σ")  # the tokenizer lower-cases letter by letter, so never to a final sigma
-        text = text.lower()
-        return [x for x in _SPACE.split(text) if x] if _ODD.search(text) else text.split()
+        if self.strange.search(text):
+            return [x for x in _SPACE.split(self.normalizer.normalize_str(text)) if x]
+        return text.lower().split()
 
     def merge(self, chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch(chunks, add_special_tokens=False)]
@@ -210,9 +225,11 @@ def lexicon(docs: DataFrame, path: str, text: str = "text", words: int = WORDS)
     found = frequent_words(docs, path, text, words)
     automaton = Automaton.build(dict(zip((w.encode() for w in found), Tokenizer(path).merge(found), strict=True)))
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    local = os.path.join(tempfile.mkdtemp(), name)  # the driver's own; Spark serves it to every executor, new ones too
-    automaton.save(local)
-    docs.sparkSession.sparkContext.addFile(local)
+    # The driver's own folder: Spark serves the file from there to every executor, new ones too, until the session ends.
+    folder = tempfile.mkdtemp(prefix="lexicon")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    automaton.save(os.path.join(folder, name))
+    docs.sparkSession.sparkContext.addFile(os.path.join(folder, name))
     return name
 
 

@@ -2,10 +2,10 @@
 
 For each language a context tree of order 3 holds how often each byte followed each context. Under frozen statistics the
 probability of a byte is c / (n + t) in the longest context that has seen it (n occurrences, t different followers), and
-each shorter context that had to be tried costs its escape, t / (n + t); below order 0 all 257 symbols are alike. Since
-the statistics are frozen, the exact code length of every byte in every context of the tree is a constant, so the trees
-are compiled into one table (context state, byte) -> bits for each language, and a text is scored by a table lookup for
-each byte, whole texts at a time. The language with the shortest code wins.
+each shorter context that had to be tried costs its escape, t / (n + t); below order 0 all 257 symbols are alike. The
+trees are kept whole, as sorted arrays of what was seen: an executor compiles those of a language from its counts. A text
+is scored by the exact code length of each of its bytes: a batch looks up its distinct four-byte grams once for each
+language and sums them by text, whole texts at a time. The language with the shortest code wins.
 """
 
 from __future__ import annotations
@@ -15,27 +15,34 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vialect.llm.common import arrow_batches, utf8
 
-#: Most training documents of a language, and most contexts of more than one byte: the bounds of the model.
-SAMPLE_DOCS, MAX_CONTEXTS = 3000, 20_000
+#: Most training documents of a language, about: the bound of the model. Bytes that are scored at a time.
+SAMPLE_DOCS, WINDOW = 3000, 1 << 21
+ORDER = 3
 LETTER = re.compile(r"[^\W\d_]")
-WINDOW = 1 << 20
 
 
 @dataclass
-class Model:
-    """``symbol``: byte -> dense symbol; ``state``: three symbols -> state; ``bits``: (state, symbol) -> bits by language."""
+class Tree:
+    """A language: for each order the sorted grams that were seen with their bits, and the sorted contexts with the bits of
+    their escape."""
+
+    grams: list[np.ndarray]
+    bits: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
 
+
+@dataclass
+class Model:
     langs: list[str]
-    symbol: np.ndarray
-    size: int
-    state: np.ndarray
-    bits: np.ndarray
+    trees: list[Tree]
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -81,108 +88,88 @@ def sampled(df: DataFrame, lang: str, key: str, bound: int) -> DataFrame:
     return df.filter(drawn < share)
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", bound: int = SAMPLE_DOCS, contexts: int = MAX_CONTEXTS) -> Model:
-    """Learns from rows with text and language; an empty table gives a model without languages."""
+def compiled(grams: np.ndarray, counts: np.ndarray) -> Tree:
+    """The tree of a language from the counts of its four-byte grams: context bytes above, the byte itself lowest."""
+    tree = Tree([], [], [], [])
+    for order in range(ORDER + 1):
+        seen, at = np.unique(grams & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+        c = np.bincount(at, counts, len(seen))
+        contexts, at = np.unique(seen >> 8, return_inverse=True)
+        n, t = np.bincount(at, c, len(contexts)), np.bincount(at, minlength=len(contexts))
+        tree.grams.append(seen.astype(np.uint32))
+        tree.bits.append((np.log2(n + t)[at] - np.log2(c)).astype(np.float32))
+        tree.contexts.append(contexts.astype(np.uint32))
+        tree.escapes.append((np.log2(n + t) - np.log2(t)).astype(np.float32))
+    return tree
+
+
+def _packed(tree: Tree) -> bytes:
+    parts = [a for arrays in zip(tree.grams, tree.bits, tree.contexts, tree.escapes, strict=True) for a in arrays]
+    return np.array([len(a) for a in parts], "<i8").tobytes() + b"".join(a.astype(a.dtype.newbyteorder("<")).tobytes() for a in parts)
+
+
+def _unpacked(data: bytes) -> Tree:
+    sizes = np.frombuffer(data, "<i8", 4 * (ORDER + 1))
+    at, parts = sizes.nbytes, []
+    for k, n in enumerate(sizes.tolist()):
+        parts.append(np.frombuffer(data, "<u4" if k % 2 == 0 else "<f4", n, at))
+        at += 4 * n
+    return Tree(*(parts[k::4] for k in range(4)))
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", bound: int = SAMPLE_DOCS) -> Model:
+    """Learns from rows with text and language, at most about ``bound`` of each language; an empty table gives a model
+    without languages, and a language of empty texts only isn't learned.
+
+    The tree of a language is compiled in one task, from the distinct grams of at most ``bound`` documents; it comes to the
+    driver as a few MB.
+    """
     arrow_batches(docs.sparkSession)
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = sampled(rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key")), "lang", "key", bound)
-    counts = rows.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    return compiled({lang: (g["gram"].to_numpy(), g["n"].to_numpy(np.float64)) for lang, g in counts.groupby("lang")}, contexts)
-
-
-def compiled(counts: dict[str, tuple[np.ndarray, np.ndarray]], contexts: int) -> Model:
-    """The tables of code lengths from the counts of four-byte grams by language."""
-    langs = sorted(counts)
-    seen = np.unique(np.concatenate([np.zeros(1, np.int64), *[counts[x][0] & 0xFF for x in langs]]))
-    symbol = np.full(256, len(seen), np.int64)  # all bytes that were never seen share one symbol
-    symbol[seen] = np.arange(len(seen))
-    size = len(seen) + 1
-    grams = {x: [symbol[counts[x][0] >> (8 * k) & 0xFF] for k in range(4)] for x in langs}
-
-    def of(x: str, order: int) -> np.ndarray:
-        """The context of each gram: its ``order`` symbols before the last."""
-        return sum((grams[x][k] * size ** (k - 1) for k in range(1, order + 1)), np.zeros(len(grams[x][0]), np.int64))
-
-    # Contexts of two and three symbols that are kept: the most frequent; a suffix is never rarer than its context.
-    kept, weight, order_of = [], [], []
-    for order in (2, 3):
-        if langs:
-            ctx, inverse = np.unique(np.concatenate([of(x, order) for x in langs]), return_inverse=True)
-            kept.append(ctx)
-            weight.append(np.bincount(inverse, np.concatenate([counts[x][1] for x in langs])))
-            order_of.append(np.full(len(ctx), order))
-    if kept:
-        weight_all = np.concatenate(weight)
-        least = np.sort(weight_all)[-contexts] if len(weight_all) > contexts else 0
-        kept = [c[w > least] if least else c for c, w in zip(kept, weight, strict=True)]
-    else:
-        kept = [np.zeros(0, np.int64)] * 2
-
-    bits = np.zeros((size + len(kept[0]) + len(kept[1]), size, max(1, len(langs))), np.float32)
-    for j, x in enumerate(langs):
-        n, last = counts[x][1], grams[x][0]
-
-        def level(ids: np.ndarray, states: int, below: np.ndarray, n: np.ndarray = n, last: np.ndarray = last) -> np.ndarray:
-            """Probabilities (state, symbol) of an order from its counts and those of the order below it."""
-            ok = ids >= 0
-            c = np.bincount(ids[ok] * size + last[ok], n[ok], states * size).reshape(states, size)
-            total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                own = np.where(c > 0, c / (total + kinds), kinds / (total + kinds) * below)
-            return np.where(total > 0, own, below)
-
-        p0 = level(np.zeros(len(n), np.int64), 1, np.full((1, size), 1 / 257))
-        p1 = level(of(x, 1), size, np.repeat(p0, size, 0))
-
-        def ids(order: int, x: str = x) -> np.ndarray:
-            table, ctx = kept[order - 2], of(x, order)
-            at = np.minimum(np.searchsorted(table, ctx), max(0, len(table) - 1))
-            return np.where(table[at] == ctx, at, -1) if len(table) else np.full(len(ctx), -1)
-
-        p2 = level(ids(2), len(kept[0]), p1[kept[0] % size])
-        suffix = np.searchsorted(kept[0], kept[1] % size**2) if len(kept[0]) else np.zeros(0, np.int64)
-        p3 = level(ids(3), len(kept[1]), p2[suffix] if len(kept[1]) else np.zeros((0, size)))
-        bits[:, :, j] = -np.log2(np.concatenate([p1, p2, p3]))
-
-    state = np.tile(np.arange(size, dtype=np.int32), size * size)  # index: third back, second back, one back
-    two = np.full(size * size, -1, np.int32)
-    two[kept[0]] = size + np.arange(len(kept[0]), dtype=np.int32)
-    deep = np.tile(two, size)
-    state = np.where(deep >= 0, deep, state)
-    state[kept[1]] = size + len(kept[0]) + np.arange(len(kept[1]), dtype=np.int32)
-    return Model(langs, symbol, size, state, bits)
+    counts = rows.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+    def tree(found: pd.DataFrame) -> pd.DataFrame:
+        packed = _packed(compiled(found["gram"].to_numpy(np.int64), found["n"].to_numpy(np.float64)))
+        return pd.DataFrame({"lang": [found["lang"].iloc[0]], "tree": [packed]})
+
+    trees = sorted((r["lang"], bytes(r["tree"])) for r in counts.groupBy("lang").applyInPandas(tree, "lang string, tree binary").collect())
+    return Model([lang for lang, _ in trees], [_unpacked(t) for _, t in trees])
+
+
+def gram_bits(tree: Tree, grams: np.ndarray) -> np.ndarray:
+    """The exact code length of the last byte of each gram after the three before it."""
+    out, left = np.zeros(len(grams), np.float64), np.arange(len(grams))
+    for order in range(ORDER, -1, -1):
+        g = grams[left] & np.uint32((1 << 8 * (order + 1)) - 1)
+        at = np.minimum(np.searchsorted(tree.grams[order], g), len(tree.grams[order]) - 1)
+        hit = tree.grams[order][at] == g
+        out[left[hit]] += tree.bits[order][at[hit]]
+        left, context = left[~hit], g[~hit] >> np.uint32(8)
+        at = np.minimum(np.searchsorted(tree.contexts[order], context), len(tree.contexts[order]) - 1)
+        known = tree.contexts[order][at] == context
+        out[left[known]] += tree.escapes[order][at[known]]
+    out[left] += np.log2(257)
+    return out
 
 
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits of each text in each language; texts are whole, the buffer is taken in windows."""
-    rows = len(offsets) - 1
-    out = np.zeros((rows, len(model.langs)))
+    out = np.zeros((len(offsets) - 1, len(model.langs)))
     if not len(data) or not model.langs:
         return out
-    flat = model.bits.reshape(-1, model.bits.shape[2])
-    lut, zero = model.symbol.astype(np.int32), np.int32(model.symbol[0])
-    size = np.int32(model.size)
     for low in range(0, len(data), WINDOW):
         high = min(len(data), low + WINDOW)
-        x = lut[data[max(0, low - 3) : high]]
-        lead = low - max(0, low - 3)
-        cut = np.searchsorted(offsets, low, "right") - 1, np.searchsorted(offsets, high, "left")
-        starts = offsets[cut[0] : cut[1]]
-        before = []
-        for back in (1, 2, 3):
-            y = np.full(high - low, zero, np.int32)
-            from_ = lead - back
-            y[max(0, -from_) :] = x[max(0, from_) : len(x) - back]
-            for k in range(back):
-                at = starts + k
-                y[(at[(at >= low) & (at < high)] - low)] = zero
-            before.append(y)
-        state = model.state[(before[2] * size + before[1]) * size + before[0]]
-        cost = flat[state * size + x[lead:]]
-        edges = np.maximum(starts, low) - low
-        full = offsets[cut[0] + 1 : cut[1] + 1] > np.maximum(starts, low)
-        part = np.add.reduceat(cost, edges[full], axis=0, dtype=np.float64)
-        np.add.at(out, np.arange(cut[0], cut[1])[full], part)
+        first, last = np.searchsorted(offsets, low, "right") - 1, np.searchsorted(offsets, high, "left")
+        begin = max(offsets[first], low - ORDER)  # bytes before the window that are context
+        edges = np.clip(offsets[first : last + 1], begin, high) - begin
+        grams = _grams(data[begin:high], edges)[low - begin :]
+        places, distinct = pd.factorize(grams)
+        starts = np.clip(offsets[first:last], low, high) - low
+        full = np.clip(offsets[first + 1 : last + 1], low, high) - low > starts
+        rows = np.arange(first, last)[full]
+        for j, tree in enumerate(model.trees):
+            out[rows, j] += np.add.reduceat(gram_bits(tree, distinct)[places], starts[full])
     return out
 
 

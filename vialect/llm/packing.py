@@ -55,6 +55,9 @@ class ByteEncoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        split = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] is not None or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex"):
+            raise ValueError(f"{path}: unknown normalizer or pre-tokenizer")
         back, vocab = byte_alphabet(), spec["model"]["vocab"]
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if token not in special}
