@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -56,7 +57,8 @@ OTHER, WORDS, OWN, FIGURES, HIDDEN = 16, 48, 32, 10, 24
 PATH = len(PLACES) + OTHER
 WIDTH = PATH + OWN + WORDS + FIGURES
 
-_TAG = re.compile(r"<(?:!--(?:.*?--!?>|.*\Z)|!\[CDATA\[(.*?)\]\]>|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^'\">])*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)", re.S)
+_OPEN = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_COMMENT_END, _TAG_PART = re.compile(r"--!?>"), re.compile(r"[\"'>]")
 _NAMED = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -92,20 +94,97 @@ class Block:
     linked: int
 
 
+class _Markup:
+    """Finds the tags of a page, each character being looked at a bounded number of times, however the page is broken.
+
+    A tag ends at the first ``>`` outside of quotes; where a quote is never closed or all ``>`` stand in quotes, at the
+    first ``>`` of all. A ``<`` that begins nothing is text.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = {c: html.rfind(c) for c in ("'", '"', ">", "]]>")}
+        self.failed: set[int] = set()  # quotes from which, if they open, no end of a tag is reached
+        self.unclosed: set[str] = set()
+
+    def _end(self, at: int) -> int:
+        """The end of a tag whose name ends at ``at``, -1 if it has none."""
+        if self.last[">"] < at:
+            return -1
+        passed, i = [], at
+        while found := _TAG_PART.search(self.html, i):
+            place, i = found.start(), found.end()
+            if found[0] == ">":
+                return i
+            if place in self.failed or i > self.last[found[0]]:
+                break
+            passed.append(place)
+            i = self.html.find(found[0], i) + 1
+        self.failed.update(passed)
+        return self.html.find(">", at) + 1
+
+    def tags(self) -> Iterator[tuple[str, str, str, str]]:
+        """(text before, name, ``/`` if it closes, attributes) of each tag; the last one has no name. Skipped content isn't text."""
+        html, begin, at = self.html, 0, 0
+        while m := _OPEN.search(html, at):
+            at, content = m.end(), ""
+            if m[1]:
+                end = _COMMENT_END.search(html, at)
+                end = end.end() if end else len(html)
+            elif m[2] and at <= self.last["]]>"]:
+                end = html.index("]]>", at) + 3
+                content = html[at : end - 3]
+            elif m[2] or m[3]:
+                end = html.find(">", at) + 1 if at <= self.last[">"] else -1
+            else:
+                end = self._end(at)
+            if end <= 0:
+                at = m.start() + 1
+                continue
+            yield html[begin : m.start()], (m[5] or "").lower(), m[4] or "", html[m.end() : end - 1] if m[5] else content
+            begin = at = end
+            if m[5] and not m[4] and (tag := m[5].lower()) in RAW and html[end - 2] != "/":
+                close = None if tag in self.unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+                if close:
+                    begin = at = close.end()
+                else:
+                    self.unclosed.add(tag)
+                    if tag in ("script", "style", "textarea", "title"):
+                        begin = at = len(html)
+        yield html[begin:], "", "", ""
+
+
+class _Frame:
+    """An open tag that begins blocks, and the open inline tags inside of it."""
+
+    def __init__(self, tag: str, mask: int):
+        self.tag, self.mask = tag, mask
+        self.inline: list[tuple[str, int]] = []
+        self.held: Counter[str] = Counter()
+
+    def pop(self) -> str:
+        tag, _ = self.inline.pop()
+        self.held[tag] -= 1
+        return tag
+
+
 def blocks(html: str) -> list[Block]:
-    """The leaf blocks of a page with text, in page order; white space is one space, character references are decoded."""
+    """The leaf blocks of a page with text, in page order; white space is one space, character references are decoded.
+
+    Tags may be nested as deeply as they are. A closing tag that closes nothing is passed over.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []  # tag, mask of it and all above it
+    frames, opened = [_Frame("", 0)], Counter()
     parts: list[str] = []
-    linked = links = at = 0
+    linked = links = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                own = next((t for t, _ in reversed(stack) if t not in INLINE), "")
-                out.append(Block(text, stack[-1][1] if stack else 0, own, linked))
+                top = frames[-1]
+                out.append(Block(text, top.inline[-1][1] if top.inline else top.mask, top.tag, linked))
             parts.clear()
         linked = 0
 
@@ -117,27 +196,20 @@ def blocks(html: str) -> list[Block]:
             if links:
                 linked += len(text.strip())
 
-    def pop(k: int) -> None:
+    def close() -> None:
         nonlocal links
-        links -= sum(t == "a" for t, _ in stack[k:])
-        del stack[k:]
-
-    while m := _TAG.search(html, at):
-        said(html[at : m.start()])
-        at = m.end()
-        if m[1] is not None:
-            parts.append(m[1])
-            continue
-        tag, closing, attributes = (m[3], m[2], m[4]) if m[3] else (m[6], m[5], m[7])
+        links -= frames[-1].held["a"]
+        opened[frames.pop().tag] -= 1
+
+    for text, tag, closing, attributes in _Markup(html).tags():
+        said(text)
         if not tag:
+            if attributes:
+                parts.append(attributes)
             continue
-        tag = tag.lower()
         if not closing and tag in RAW:
             if tag in PARTED:
                 parts.append(" ")
-            if not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                at = end.end() if end else (len(html) if tag in ("script", "style", "textarea", "title") else at)
             continue
         if tag == "br":
             parts.append(" ")
@@ -147,30 +219,30 @@ def blocks(html: str) -> list[Block]:
         if tag not in INLINE:
             flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            if tag in INLINE:
+                while frames[-1].held[tag] > 0:
+                    gone = frames[-1].pop()
+                    links -= gone == "a"
+                    if gone == tag:
+                        break
+            elif opened[tag] > 0:
+                while frames[-1].tag != tag:
+                    close()
+                close()
             continue
         if tag in VOID or tag in FOREIGN and attributes.endswith("/"):
             continue
-        if tag in P_ENDS:
-            ends: tuple[str, ...] = ("p",)
-        else:
-            ends = CLOSES.get(tag, ())
-        if ends:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    pop(k)
-                    break
-                if stack[k][0] not in INLINE and stack[k][0] not in ends:
-                    break
-        if len(stack) < 4000:
-            stack.append((tag, (stack[-1][1] if stack else 0) | _bits(tag, attributes.strip())))
+        if len(frames) > 1 and frames[-1].tag in (("p",) if tag in P_ENDS else CLOSES.get(tag, ())):
+            close()
+        top = frames[-1]
+        mask = (top.inline[-1][1] if top.inline else top.mask) | _bits(tag, attributes.strip())
+        if tag in INLINE:
+            top.inline.append((tag, mask))
+            top.held[tag] += 1
             links += tag == "a"
-    said(html[at:])
+        else:
+            frames.append(_Frame(tag, mask))
+            opened[tag] += 1
     flush()
     return out
 
