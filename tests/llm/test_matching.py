@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import os
 import random
@@ -11,6 +12,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vialect.llm import common, fingerprints, html_extract, line_dedup, ngram_join, topk, url_filter
 
@@ -287,6 +289,64 @@ def test_line_dedup_without_keys(spark):
     assert line_dedup.dedup_lines(rows.limit(0)).count() == 0
 
 
+def test_lines_of_a_next_corpus(spark, tmp_path):
+    """The index of one corpus, opened again in another session, and the next corpora joined with it; an empty one too."""
+    rng = random.Random(17)
+    shared = [prose(rng, 5) + " shared" for _ in range(15)]
+
+    def corpus(first, n):
+        return [(first + i, "\n".join(rng.choice([rng.choice(shared), prose(rng, 6)]) for _ in range(6))) for i in range(n)]
+
+    corpora = [corpus(0, 30), [], corpus(100, 20), corpus(50, 10)]
+    want, before = [], []
+    for docs in corpora:
+        # Documents of an earlier corpus come first, whatever their ids.
+        rows = [(10_000 * k + i, t) for k, batch in enumerate([*before, docs]) for i, t in batch]
+        want += [(i % 10_000, a, b, t) for i, a, b, t in slow_lines(rows) if i >= 10_000 * len(before)]
+        before.append(docs)
+    got = []
+    for docs in corpora:
+        session = spark.newSession()
+        out = line_dedup.dedup_lines(session.createDataFrame(docs, "doc_id long, text string"), batches=2, index=line_dedup.LineIndex(session, f"file://{tmp_path}/index"))
+        got += [(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in out.collect()]
+    assert sorted(got) == sorted(want)
+    index = line_dedup.LineIndex(spark, f"file://{tmp_path}/index")
+    every = functools.reduce(lambda a, b: a.unionByName(b), index.runs()).select("h1", "h2")
+    assert 1 <= len(index.runs()) <= 3 and every.count() == every.distinct().count()
+    again = line_dedup.dedup_lines(spark.createDataFrame(corpora[0], "doc_id long, text string"), index=index)
+    assert all(r.n_dropped == 0 or any(r.doc_id == i and n for i, _, n, _ in want) for r in again.collect())
+
+
+def test_runs_are_read_in_order(spark):
+    """One file a bucket; in the merge join the side of a run has neither an exchange nor a sort."""
+    index = line_dedup.LineIndex(spark)
+    hashes = spark.range(5000).select(F.xxhash64("id").alias("h1"), F.col("id").alias("h2"), F.col("id").alias("first")).repartition(7)
+    index.add(hashes)
+    run, path, buckets = index.levels[0][0]
+    assert len([f for f in os.listdir(path.removeprefix("file:")) if f.endswith(".parquet")]) == buckets
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with line_dedup._in_order(spark):
+            found = index.firsts(hashes.select("h1", "h2"))
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert found.filter("known is null or known <> h2").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    # Only the batch is dealt and sorted.
+    assert "SortMergeJoin" in plan and plan.count(" Sort [") == 1 and plan.count("hashpartitioning") == 1, plan
+    assert spark.conf.get(line_dedup.ORDERED) == "false"
+
+
+def test_line_dedup_of_clashing_columns(spark):
+    names = "doc_id long, text string, _t string, _gone string, gone int, t int, own int, row int, key int, doc int, pos int, n_dropped int"
+    rows = [(k, "the very same line\nbut " + "x" * 20 + str(k), "a", "b", 1, 2, 3, 4, 5, 6, 7, 8) for k in range(3)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, names))
+    assert out.columns == [c.split()[0] for c in names.split(", ")][:-1] + ["n_lines", "n_dropped"]
+    assert sorted((r.doc_id, r.n_dropped, r._t, r.pos) for r in out.collect()) == [(0, 0, "a", 7), (1, 1, "a", 7), (2, 1, "a", 7)]
+
+
 def test_release(spark):
     rows = common.written(spark.range(3), "kept")
     path = common._MADE[-1].removeprefix("file:")

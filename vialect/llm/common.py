@@ -9,17 +9,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vialect.operators import graph
+
 #: Rows and bytes of an Arrow batch: a Python worker holds a few of these at a time.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``; set here only where unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file:///tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
+
+    Where it is unset a local session, whose executors are the driver, gets a folder of its own; on a cluster that fails.
+    """
+    return graph.shared_dir(spark)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
 #: Folders that this process has written to the shared one, and tables of the catalog over them.
