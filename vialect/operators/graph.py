@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
+
+    Where it is unset a local session, whose executors are the driver, gets a folder of its own; on a cluster that fails,
+    as rows written to each executor's own disk would be lost without a word.
+    """
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file:///tmp/checkpoints"
+    return found.rstrip("/")
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to the folder in spark.checkpoint.dir; a folder is set here only where none is, as in tests."""
+    """``df`` checkpointed to the shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "file:///tmp/checkpoints"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vialect.functions import geo, similarity, text
 from vialect.operators import clustering, enrich, evaluation, ground_truth, lengths, mappings, normalizers, spatial, tiles
-from vialect.operators.graph import stored
+from vialect.operators.graph import shared_dir, stored
 from vialect.sources import files
 
 
@@ -321,8 +321,7 @@ def lengths_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rollup written as CSV and read by position."""
     import uuid
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "file:///tmp/checkpoints").rstrip("/")
-    path = f"{root}/csv/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/csv/{uuid.uuid4().hex}"
     files.write_csv(_street_rows(spark, sf_dir).select("name", "total_m", "segments_count", "street_count"), path)
     return files.read_lengths(spark, path)
 
