@@ -229,6 +229,41 @@ def test_top_k_over_many_partitions(spark, monkeypatch):
         assert sorted((r["rank"], r.vec_id, r.score) for r in out if r.query_id == q) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]
 
 
+def test_top_k_of_huge_components(spark):
+    """Products beyond a long count as its largest or smallest value and tie; none is lost, none crashes."""
+    rows = [(0, [1e9, 2e9]), (1, [1e9, 1e9]), (2, [-1e300, 1.0]), (3, [1e300, 1e300]), (4, [0.5, 0.25]), (5, [1e308, -1e308]), (100, [1e-9, 1.0])]
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", "vec_id % 100 = 0").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    from fractions import Fraction
+    from math import floor
+
+    x = {i: [floor(Fraction(a) * 1024) for a in v] for i, v in rows}
+    for q in (0, 100):
+        scores = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(x[q], y, strict=True)))), i) for i, y in x.items() if i != q)
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+
+
+def test_top_k_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert topk.top_k(empty, "vec_id", "embedding", "vec_id % 100 = 0").count() == 0
+
+
+def test_top_k_with_seeds(spark, monkeypatch):
+    """Blocks so small that none holds the ten best: the sample's bound drops candidates early, and no result changes."""
+    rng = np.random.default_rng(9)
+    centers = rng.normal(0, 0.5, (6, 32))
+    rows = [(i, [float(v) for v in centers[i % 6] + rng.normal(0, 0.05, 32)]) for i in range(601)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {tuple(r) for r in topk.top_k(frame, "vec_id", "embedding", "vec_id % 100 = 0").collect()}
+    monkeypatch.setattr(topk, "CANDIDATES", 50)
+    monkeypatch.setattr(topk, "SEEDS", 200)
+    assert {tuple(r) for r in topk.top_k(frame, "vec_id", "embedding", "vec_id % 100 = 0").collect()} == whole
+    x = np.floor(1024 * np.array([v for _, v in rows]))
+    made = [topk.search(x[:1], np.arange(1), x[300:], np.arange(300, 601), 10, s)[2] for s in (None, np.array([np.sort(x[1:300] @ x[0])[-10]]))]
+    assert made[1] < made[0]
+
+
 def test_pruning_is_exact_and_prunes():
     rng = np.random.default_rng(6)
     centers = rng.normal(0, 300, (20, 64))
@@ -257,6 +292,20 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(rows.limit(0), url_filter.SITE_RULES).count() == 0
 
 
+def test_url_rules_and_clashing_columns(spark):
+    rows = spark.createDataFrame([("http://a.com/en/x", 1, 2, 3, 4, "r")], "url string, _tried int, _best int, candidates int, best int, row string")
+    r = url_filter.filter_urls(rows, url_filter.SITE_RULES).head()
+    assert (r._tried, r._best, r.candidates, r.best, r.row, r.verdict) == (1, 2, 3, 4, "r", "block")
+
+
+def test_one_of_each_of_clashing_columns(spark):
+    names = "doc_id long, text string, _t int, _key int, _hash int, key int, own int, row int, own_hash int, text_hash int, node int"
+    rows = [(k, t, 1, 2, 3, 4, 5, 6, 7, 8, 9) for k, t in enumerate(["a b c d e f", "a b c d e f", None, "", "z y x w v u"])]
+    out = ngram_join.one_of_each(spark.createDataFrame([*rows, rows[4]], names))
+    assert out.columns == [c.split()[0] for c in names.split(", ")]
+    assert sorted(tuple(r) for r in out.collect()) == sorted([rows[0], rows[2], rows[4]], key=lambda r: r[0])
+
+
 def slow_lines(rows):
     strip, lower = " \t\n\x0b\x0c\r", str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     first: dict[str, int] = {}

@@ -233,12 +233,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     bands = Bands(*bands_and_rows(float(threshold), recall))
     marks = written(signatures(docs, text, key, bands, n), "signatures")
     classes = marks.groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_grams").alias("n_grams"), F.any_value("keys").alias("keys"))
-    classes = written(classes, "classes")
-    ties = classes.select(F.explode("keys").alias("band"), F.col("h1").alias("node"))
+    # A class is known by 128 bits; its node is a number that is given once, when the classes are written.
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    ties = classes.select(F.explode("keys").alias("band"), "node")
     hubs = ties.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", "hub")
     tied = components(ties.join(hubs, "band").filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
 
-    placed = tied.withColumnRenamed("root", "comp").join(classes.select(F.col("h1").alias("node"), "rep", "copies", "n_grams"), "node")
+    placed = tied.withColumnRenamed("root", "comp").join(classes.select("node", "h1", "h2", "rep", "copies", "n_grams"), "node")
     sizes = placed.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n_grams").alias("g"))
     blocks = F.greatest(F.ceil(F.col("g") / BLOCK_GRAMS), F.ceil(F.col("m") / BLOCK_CLASSES)).cast("int")
     sizes = written(sizes.select("comp", "g", blocks.alias("blocks")), "sizes")
@@ -246,16 +247,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     shared = -(-small // BLOCK_GRAMS) or 1
     placed = placed.join(sizes, "comp")
     placed = placed.withColumn("blk", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int"))
-    placed = placed.select("comp", "node", "rep", "copies", "blocks", "blk")
+    placed = placed.select("comp", "node", "h1", "h2", "rep", "copies", "blocks", "blk")
 
     body = docs.select(F.col(key).alias("rep"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    texts = body.join(placed, body["rep"].eqNullSafe(placed["rep"])).select(*[placed[c] for c in ("comp", "node", "copies", "blocks", "blk")], "text")
+    texts = body.join(placed, body["rep"].eqNullSafe(placed["rep"])).select(*[placed[c] for c in ("comp", "node", "copies", "blocks", "blk", "h1", "h2")], "text")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows whose text is the class's: several texts may have the key, or none."""
         for batch in batches:
-            found = np.array([signature(s)[0] for s in gram_sets(batch.column(5).to_pylist(), n)], np.int64)
-            yield batch.filter(pa.array(found == np.asarray(batch.column(1))))
+            found = np.array([signature(s) for s in gram_sets(batch.column(7).to_pylist(), n)], np.int64).reshape(-1, 2)
+            same = (found[:, 0] == np.asarray(batch.column(5))) & (found[:, 1] == np.asarray(batch.column(6)))
+            yield batch.select(["comp", "node", "copies", "blocks", "blk", "text"]).filter(pa.array(same))
 
     texts = texts.mapInArrow(own, "comp long, node long, copies long, blocks int, blk int, text string")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -271,10 +273,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     found = written(found, "links")
     counts = found.filter("root is null").groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.filter("root is not null").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    info = classes.select(F.col("h1").alias("node"), "h2", "rep", "copies").join(counts, "node", "left").join(roots, "node", "left")
+    info = classes.select("node", "h1", "h2", "rep", "copies").join(counts, "node", "left").join(roots, "node", "left")
     info = info.withColumn("root", F.coalesce("root", "node"))
     info = info.join(info.groupBy("root").agg(F.min("rep").alias("class_id")), "root")
-    info = info.select(F.col("node").alias("h1"), "h2", "root", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("rep").alias("copy_of"))
+    info = info.select("h1", "h2", "root", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("rep").alias("copy_of"))
     rows = marks.select("doc", "t", "h1", "h2").join(info, ["h1", "h2"])
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("odd"), "doc", "t")).alias("first"))
     out = rows.join(first, "root")
@@ -283,11 +285,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", **options: Fraction | float) -> DataFrame:
-    """``docs`` with one row of each class of near duplicates; the columns are those of ``docs``."""
-    marked = near_duplicates(docs, text, key, **options).filter("stays").select(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"))
-    marked = written(marked, "stay")
-    kept = docs.withColumn("_t", text_hash(text)).join(marked.distinct(), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_hash")), "left_semi")
-    total, distinct = marked.select(F.count(F.lit(1)), F.count_distinct(F.struct(F.coalesce(F.col("_key").cast("string"), F.lit("")), "_hash"))).head()
+    """``docs`` with one row of each class of near duplicates; the columns are those of ``docs``, whatever their names.
+
+    Of rows that are repeated in key and text one stays. Texts without words, nulls among them, are one class. An empty
+    table gives no rows.
+    """
+    marked = near_duplicates(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), "text", "key", **options)
+    marked = written(marked.filter("stays").select("key", "text_hash"), "stay")
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{key}`").alias("own"), text_hash(f"`{text}`").alias("own_hash"))
+    kept = rows.join(marked.distinct(), F.col("own").eqNullSafe(F.col("key")) & (F.col("own_hash") == F.col("text_hash")), "left_semi")
+    total, distinct = marked.select(F.count(F.lit(1)), F.count_distinct(F.struct(F.coalesce(F.col("key").cast("string"), F.lit("")), "text_hash"))).head()
     if total > distinct:  # rows that are repeated in key and text
-        kept = kept.dropDuplicates([key, "_t"])
-    return kept.drop("_t")
+        kept = kept.dropDuplicates(["own", "own_hash"])
+    return kept.select("row.*")

@@ -110,9 +110,9 @@ def filter_urls(df: DataFrame, rules: list[Rule], url: str = "url", default: str
     A null URL, and one without ``://``, has empty host and path and gets the default verdict unless a rule without host
     fits. Repeated rows are judged alike. Columns of ``df`` with the names of the result are replaced.
     """
-    host, path = host_and_path(F.col(url))
+    host, path = host_and_path(F.col(f"`{url}`"))
     kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict", "tried")]
-    based = df.select(*[F.col(f"`{c}`") for c in kept], host.alias("host"), path.alias("path"))
+    based = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), host.alias("host"), path.alias("path"))
     index = index_rules(rules, token_counts(based, {t for r in rules for t in r.tokens}))
 
     def packed(rule: Rule) -> Column:
@@ -126,15 +126,15 @@ def filter_urls(df: DataFrame, rules: list[Rule], url: str = "url", default: str
     if filed:
         lookup = F.create_map(*[x for t, found in filed.items() for x in (F.lit(t), found)])
         hits = F.filter(F.transform(_tokens(), lambda t: F.try_element_at(lookup, t)), lambda x: x.isNotNull())
-        tried = F.concat(always, F.flatten(hits))
+        candidates = F.concat(always, F.flatten(hits))
     else:
-        tried = always
-    out = based.withColumn("_tried", tried)
-    fits = F.filter("_tried", lambda r: F.rlike(F.concat("host", "path"), r["pattern"]))
-    out = out.withColumn("_best", F.array_max(fits))
+        candidates = always
+    out = based.withColumn("candidates", candidates)
+    fits = F.filter("candidates", lambda r: F.rlike(F.concat("host", "path"), r["pattern"]))
+    out = out.withColumn("best", F.array_max(fits))
     return out.select(
-        *[F.col(f"`{c}`") for c in kept], "host", "path",
-        F.when(F.col("_best.site") == 1, F.col("_best.text")).alias("rule"),
-        F.coalesce(F.col("_best.verdict"), F.lit(default)).alias("verdict"),
-        F.size("_tried").alias("tried"),
+        "row.*", "host", "path",
+        F.when(F.col("best.site") == 1, F.col("best.text")).alias("rule"),
+        F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"),
+        F.size("candidates").alias("tried"),
     )
