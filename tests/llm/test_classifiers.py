@@ -123,6 +123,57 @@ def test_quality(spark, words):
     assert {r.score for r in quality.score(docs, blank).collect()} == {0.5}
 
 
+def slow_shares(text):
+    """Shares of lower-case letters, capitals and digits among the characters, and the logarithms of bytes and words."""
+    data = text.encode()
+    chars = max(1, len(text))
+    return [sum(97 <= b <= 122 for b in data) / chars, sum(65 <= b <= 90 for b in data) / chars, sum(48 <= b <= 57 for b in data) / chars], [math.log1p(len(data)), math.log1p(len(text.split()))]
+
+
+def test_quality_equals_one_pass_in_numpy(spark, words):
+    """Statistics by a plain loop; the ridge from the whole design matrix at once instead of partitions' sums."""
+    rng = random.Random(31)
+    rows = [(i, t if i % 3 else t.upper() + " 12 34", int(i % 3 > 0)) for i, t, _ in texts(words, 300, 8, False)] + [(900, "", 0), (901, "é É 5", 1)]
+    x = quality.statistics(pa.array([t for _, t, _ in rows]))
+    for row, (_, t, _) in zip(x, rows, strict=True):
+        shares, logs = slow_shares(t)
+        if t:
+            assert list(row[:3]) == pytest.approx(shares) and [row[len(quality._CLASSES) + 2], row[len(quality._CLASSES) + 3]] == pytest.approx(logs)
+        else:
+            assert not row.any()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(5)
+    model = quality.fit(docs, spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int"), F.lit(True))
+    c = {r[0]: r[1] for r in docs.select("doc_id", F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(4)) == 0).collect()}
+    c, y = np.array([c[i] for i, _, _ in rows]), np.array([float(q) for _, _, q in rows])
+    assert model.mean == pytest.approx(x.mean(0)) and model.scale == pytest.approx(x.std(0) + 1e-6)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-6), -6, 6)
+    a = np.column_stack([np.cos(z @ model.weights + model.phase) * math.sqrt(2 / quality.FEATURES), z / 10, np.ones(len(z))])
+    ridge = np.linalg.solve(a[~c].T @ a[~c] + quality.RIDGE * np.eye(a.shape[1]), a[~c].T @ y[~c])
+    assert model.ridge == pytest.approx(ridge, rel=1e-5, abs=1e-7)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert [got[i] for i, _, _ in rows] == pytest.approx(list(np.clip(np.interp(a @ ridge, model.at, model.value), 0, 1)), abs=1e-6)
+    assert quality.score(docs.limit(0), model).count() == 0
+
+
+def test_pieces_hold_the_library_s_ids(spark, words):
+    """Every piece's checksum, start and total against the ids of the library."""
+    import zlib
+
+    path = tokenizer("byte_bpe_50k.json")
+    body = texts(words, 40, 9)
+    lib, seen = reference(path), {}
+    for r in packing.pack(spark.createDataFrame([(i, t, 5) for i, t, _ in body], "doc_id long, text string, length int"), path).collect():
+        seen.setdefault(r.doc_id, []).append(r)
+    for i, t, _ in body:
+        ids = np.array([*lib.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        at = 0
+        for r in sorted(seen.pop(i), key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + r.length].tobytes()))
+            at += r.length
+        assert at == len(ids)
+    assert not seen
+
+
 def test_isotonic():
     x, y = quality.isotonic(np.arange(5.0), np.array([0.0, 2, 1, 3, 4]), np.array([4.0, 4, 4, 4, 4]))
     assert list(x) == [0, 1.5, 3, 4] and np.all(np.diff(y) > 0)

@@ -187,4 +187,9 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+    """A row for each piece of each document: its place in the document, its checksum, and its place in a sequence.
+
+    A null or empty text is its end id alone. Repeated rows, and rows without key, are packed as documents of their own;
+    other columns of ``docs`` are not looked at. An empty table gives no rows.
+    """
     return packed(written(pieces(docs, path, capacity=capacity), "pieces"), capacity)

@@ -16,39 +16,47 @@ def tokenizer(name: str) -> str:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts. A null text counts as empty; repeated rows stay; a null doc_id comes last. An empty table gives no rows."""
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents: class_id, n_links and copy_of of every row, repeated rows too. Texts without words, nulls among them, are copies of each other. An empty table gives no rows."""
     found = ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "class_id", "n_links", "copy_of")
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all vectors for each vector whose id 100 divides. Null, empty and non-finite vectors take no part; repeated rows count once. An empty table gives no rows."""
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", "vec_id % 100 = 0")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page, repeated rows too. A null url has empty host and path and no rule. An empty table gives no rows."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_filter.filter_urls(pages, [*url_filter.SITE_RULES, *url_filter.PATTERN_RULES])
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, repeated rows too. A null or empty page has an empty text. An empty table gives no rows."""
     return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that one of smaller id holds. A null text has one empty line; rows of one id count as one document. An empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", line_dedup.sha256_hex(F.col("text")).alias("kept_sha256"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in their sequences. A null or empty text is its end id; repeated rows are documents of their own. An empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document, repeated rows alike. A null text counts as empty; a null doc_id is not held out. An empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), ~quality.held_out(F.col("doc_id")))
     held = docs.select("doc_id", "text", quality.held_out(F.col("doc_id")).alias("held_out"))
@@ -56,6 +64,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language for every document, repeated rows alike: und where a text is null or has no letter. A null doc_id is not held out. An empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
     held = docs.select("doc_id", "text", langid.held_out(F.col("doc_id")).alias("held_out"))
@@ -63,6 +72,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, repeated rows alike. A null text counts as empty. An empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe.encoded(docs, tokenizer("word_bpe_49k.json"))
     return out.select(
