@@ -59,12 +59,12 @@ def sketch(digests: str) -> str:
     same = f"aggregate(filter(s, z -> z.i = y.x.i), {_ZERO}, (a, z) -> named_struct('i', z.i, 'c', a.c + z.c, 'k', a.k ^ z.k, 'h', a.h ^ z.h))"
     marked = "transform(s, (x, n) -> named_struct('x', x, 'first', n = 0 OR get(s, n - 1).i <> x.i, 'more', coalesce(get(s, n + 1).i = x.i, false)))"
     added = f"transform(filter({marked}, y -> y.first), y -> if(y.more, {same}, y.x))"
-    return _let("s", f"sort_array(flatten(transform({digests}, d -> array({cells}))))", f"if(size(array_distinct(transform(s, x -> x.i))) = size(s), s, {added})")
+    return _let("s", f"sort_array(flatten(transform({digests}, d -> array({cells}))))", f"if(array_contains(transform(s, (x, n) -> coalesce(get(s, n + 1).i = x.i, false)), true), {added}, s)")
 
 
 def printed(cells: str) -> str:
     """A sketch as text: 22 bytes a cell (place 4, count 2, digests 8, checks 8) in base 64."""
-    one = "concat(lpad(hex(x.i), 8, '0'), lpad(hex(x.c), 4, '0'), lpad(hex(x.k), 16, '0'), lpad(hex(x.h), 16, '0'))"
+    one = "concat(lpad(hex(x.i * 65536L + x.c), 12, '0'), lpad(hex(x.k), 16, '0'), lpad(hex(x.h), 16, '0'))"
     return f"base64(unhex(array_join(transform({cells}, x -> {one}), '')))"
 
 
