@@ -201,7 +201,7 @@ def test_every_code_point_equals_the_library():
     path = tokenizer("word_bpe_49k.json")
     lib, encoder = reference(path), bpe.Encoder(bpe.Tokenizer(path), bpe.Automaton.build({}))
     chars = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE0200), 0x10FFFF)]
-    for shown in (lambda c: c, lambda c: f"a{c}b {c}x"):
+    for shown in (lambda c: c, lambda c: f"a{c}b {c}x", lambda c: f"b{c}, {c}a!)"):
         texts = [shown(c) for c in chars]
         got = encoder.encode(texts)
         assert [t for t, g, w in zip(texts, got, lib.encode_batch(texts, add_special_tokens=False), strict=True) if np.frombuffer(g, "<u4").tolist() != w.ids] == []

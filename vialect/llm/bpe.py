@@ -19,6 +19,7 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from vialect.llm.common import arrow_batches, written
 
 #: Words of the lexicon, most bytes of one, and chunks that a worker counts or remembers before it starts anew.
-WORDS, LONGEST, KEEP = 65_536, 40, 200_000
+WORDS, LONGEST, KEEP = 65_536, 40, 300_000
 #: White space as the tokenizer's patterns see it.
 _SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
 #: What the tokenizer file must say for the splitting here to be its own.
@@ -185,7 +186,7 @@ class Tokenizer:
         return text.lower().split()
 
     def merge(self, chunks: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch(chunks, add_special_tokens=False)]
+        return [e.ids for e in self.model.encode_batch_fast(chunks, add_special_tokens=False)]
 
 
 def frequent_words(docs: DataFrame, path: str, text: str = "text", words: int = WORDS) -> list[str]:
@@ -248,19 +249,23 @@ class Encoder:
         known = number >= 0
         low, high = 4 * start[:-1][number[known]].astype(np.int64), 4 * start[1:][number[known]].astype(np.int64)
         hits = iter(zip(low.tolist(), high.tolist(), strict=True))
-        fresh = []
+        fresh, merged = [], self.merged
         for w, k in zip(words, known.tolist(), strict=True):
             if k:
                 a, b = next(hits)
                 out[w] = ids[a:b]
-            elif w in self.merged:
-                out[w] = self.merged[w]
+            elif w in merged:
+                out[w] = merged[w]
             else:
                 fresh.append(w)
-        if len(self.merged) > KEEP:
-            self.merged.clear()
-        for w, x in zip(fresh, self.tokenizer.merge(fresh), strict=True):
-            out[w] = self.merged[w] = np.array(x, "<u4").tobytes()
+        if len(merged) > KEEP:
+            merged.clear()
+        found = self.tokenizer.merge(fresh)
+        flat = np.fromiter(chain.from_iterable(found), "<u4", sum(map(len, found))).tobytes()
+        at = 0
+        for w, x in zip(fresh, found, strict=True):
+            out[w] = merged[w] = flat[at : at + 4 * len(x)]
+            at += 4 * len(x)
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
