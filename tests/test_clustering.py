@@ -53,6 +53,37 @@ def test_leaders_equal_a_loop(spark, seed):
     assert got == sequential(names, ratio, 0.8)
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.67, 0.6])
+def test_indel_edges_equal_all_pairs(spark, threshold):
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choice("abcde") for _ in range(rng.randint(1, 9))) for _ in range(150)} - set("abcde")) + ["aa bb", "z"]
+    rows = spark.createDataFrame([(i, p, p) for i, p in enumerate(names)], "pos long, name string, p string")
+    got = {(r.i, r.j) for r in clustering.indel_edges(rows, threshold).collect()}
+    assert got == {(i, j) for i, a in enumerate(names) for j, b in enumerate(names[:i]) if ratio(a, b) >= threshold}
+
+
+@pytest.mark.parametrize("eps", [0.5, 1.5, 4.0])
+def test_points_of_the_plane(spark, eps):
+    """Clusters in two dimensions against a search over all pairs; hot places, nulls and several keys."""
+    rng = random.Random(int(eps * 10))
+    points = [(i, rng.choice("ab"), rng.gauss(0, 6), rng.gauss(0, 6)) for i in range(150)] + [(200 + i, "a", 1.0, 2.0) for i in range(40)] + [(300, "a", None, 1.0), (301, None, 0.0, 0.0)]
+    rng.shuffle(points)
+    got = {r.id: r.cluster_id for r in spatial.point_components(spark.createDataFrame(points, "id long, name string, x double, y double"), eps).collect()}
+    want = {i: None for i, *_ in points}
+    for key in "ab":
+        left = {i: (x, y) for i, k, x, y in points if k == key and x is not None}
+        while left:
+            first = min(left)
+            todo, seen = [left.pop(first)], [first]
+            while todo:
+                x, y = todo.pop()
+                near = [i for i, (u, v) in left.items() if (x - u) ** 2 + (y - v) ** 2 <= eps * eps]
+                seen += near
+                todo += [left.pop(i) for i in near]
+            want |= dict.fromkeys(seen, first)
+    assert got == want
+
+
 def test_leaders_of_nothing(spark):
     rows = spark.createDataFrame([(0, "Ulica"), (1, "")], "pos long, name string")
     assert clustering.leader_jaccard(rows).count() == 0

@@ -13,7 +13,7 @@ from vialect.functions import geo
 from vialect.operators import enrich, evaluation, ground_truth, lengths, mappings, normalizers, tiles
 from vialect.plans import cli
 from vialect.settings import Settings
-from vialect.sources import files
+from vialect.sources import files, services
 from vialect.streaming import groups
 
 GROUPED = "wikidata_id,entity_label,is_human,street_names\nQ1,Ann Old,True,Annova; A. Anny; Anna\nQ2,\"Bo, B\",False,Bova; Annova\n"
@@ -47,6 +47,16 @@ def test_evaluation_by_hand(spark):
     assert (empty.grouping_rate, empty.collision_rate, empty.total_groups) == (0.0, 0.0, 0)
 
 
+def test_report_order_and_rounding(spark):
+    """All problem entities beyond the console's ten, equal scores and collisions in the order of the ground truth."""
+    rows = [(f"Q{90 - e}", f"label {e}", f"n{e}-{k}", 10 * e + k, f"g{e}" if k else "shared" if e > 3 else f"h{30 - e}") for e in range(20) for k in range(3)]
+    rows += [("Q5", "same", "x", 900, "h29"), ("Q5", "same", "y", 901, "h29")]
+    r = evaluation.report(spark.createDataFrame(rows, "wikidata_id string, entity_label string, name string, pos long, group_id string"), "m").head()
+    assert [(e.wikidata_id, e.score, e.dominant_count) for e in r.problem_entities] == [(f"Q{90 - e}", 0.6667, 2) for e in range(20)]
+    assert [c.group_id for c in r.collisions] == ["h29", "shared"] and [(e.wikidata_id, e.label) for e in r.collisions[0].entities] == [("Q89", "label 1"), ("Q5", "same")]
+    assert [e.wikidata_id for e in r.collisions[1].entities] == [f"Q{90 - e}" for e in range(4, 20)]
+
+
 def test_mapping_groups(spark):
     rows = [("a", 5.0, 1, 1, 0, "g"), ("b", 5.0, 2, 1, 1, "g"), ("c", 0.0, 1, 1, 2, "h"), ("d", 9.0, 1, 1, 3, "")]
     frame = spark.createDataFrame(rows, "name string, total_m double, segments_count long, street_count long, pos long, group_id string")
@@ -125,6 +135,68 @@ def test_enrichment(spark):
     assert [tuple(r) for r in got] == [("Q1", ["Anna", "Ann"], ["Q5"], True, "Anna")]
 
 
+def test_answers_are_saved_batch_by_batch(spark, tmp_path, monkeypatch):
+    """A job that fails keeps what was answered before; run again it asks only for the rest."""
+    path, quick = f"{tmp_path}/answers", Settings(llm_delay=0, llm_batch=2)
+    names = spark.createDataFrame([(f"name {k}",) for k in range(7)], "name string")
+    real, calls = files.append_cache, []
+
+    def failing(rows, where):
+        calls.append(rows.count())
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        real(rows, where)
+
+    monkeypatch.setattr(files, "append_cache", failing)
+    with pytest.raises(RuntimeError):
+        enrich.warm_saved(names, path, "m", enrich.stub_reply, quick)
+    assert spark.read.parquet(path).count() == 4
+    calls.clear()
+    saved = enrich.warm_saved(names, path, "m", enrich.stub_reply, quick)
+    assert calls == [2, 1] and {r.canonical for r in saved.collect()} == {f"name {k}" for k in range(7)}
+    assert enrich.warm_saved(names, path, "m", enrich.stub_reply, quick).count() == 7 and len(calls) == 2
+    method = normalizers.ModelNormalizer("openai", "m", enrich.stub_reply, path=path)
+    assert {r.group_id for r in method(names).collect()} == {f"name {k}" for k in range(7)}
+
+
+def test_services(monkeypatch):
+    """Requests and replies of each adapter against a server of our own."""
+    import http.server
+    import threading
+
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def _reply(self):
+            size = int(self.headers.get("Content-Length") or 0)
+            seen.append((self.path, dict(self.headers), json.loads(self.rfile.read(size) or b"null")))
+            bodies = {"/entity/Q1.json": {"entities": {}}, "/openai": {"choices": [{"message": {"content": "a"}}]}, "/anthropic": {"content": [{"text": "b"}]}, "/gemini/g:generateContent": {"candidates": [{"content": {"parts": [{"text": "c"}]}}]}}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(bodies[self.path]).encode())
+
+        do_GET = do_POST = _reply  # noqa: N815
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    try:
+        assert json.loads(services.entity_source(address=f"{at}/entity")("Q1")) == {"entities": {}} and seen[0][1]["User-Agent"] == services.AGENT
+        for provider, model, want in (("openai", "o", "a"), ("anthropic", "h", "b"), ("gemini", "g", "c")):
+            monkeypatch.delenv(services.KEYS[provider], raising=False)
+            assert services.model_source(provider, model) is None
+            monkeypatch.setenv(services.KEYS[provider], "secret")
+            assert services.model_source(provider, model, address=f"{at}/{provider}")("task", "message", 5) == want
+            assert "task" in json.dumps(seen[-1][2]) and "message" in json.dumps(seen[-1][2]) and "secret" in str(seen[-1][1])
+        with pytest.raises(OSError):
+            services.entity_source(Settings(request_timeout=0.2), "http://127.0.0.1:9")("Q1")
+    finally:
+        server.shutdown()
+
+
 def test_registry(spark):
     registry = normalizers.default_registry()
     assert registry.ids() == ["suffix_stripping", "levenshtein", "ngram", "llm_gpt4o_mini", "llm_claude_haiku", "llm_gemini_flash"]

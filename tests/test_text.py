@@ -21,6 +21,23 @@ def test_ascii_norm(spark):
     assert column(spark, given_, lambda c: text.ascii_norm_unicode(c))[:5] == want[:5]
 
 
+def test_other_scripts(spark):
+    cases = {
+        "Улица Жукова": "ulitsa zhukova", "Площадь Революции": "ploshchad revoliutsii", "Ђорђа Њ.": "djordja nj", "Київ, Єва": "kiyiv ieva", "Οδός Ψυχάρη": "odos psukhare", "Θεσσαλονίκη": "thessalonike",
+        "Ŋala": "ngala", "ƒǽǿ": "faeo", "Ǆ ǉ ǌ": "dz lj nj", "Ƙano Ɵ": "kano", "ёлка": "iolka", "Šaľa ĸ": "sala k",
+    }
+    assert column(spark, list(cases), text.ascii_norm) == list(cases.values())
+
+
+def test_every_lower_case_latin_letter_has_a_form():
+    """U+00DF-U+024F without the click and tone letters and those that look like digits."""
+    import unicodedata
+
+    known = set(text.latin_table()[0]) | set(text.LONG_FORMS) | set(text.RARE_LONG)
+    lacking = {c for c in map(chr, range(0xDF, 0x250)) if unicodedata.category(c) == "Ll"} - known
+    assert lacking == set("ƅƨƪƹƺƽƾǝɂ")
+
+
 def test_keys(spark):
     cases = {"1. mája": "1_maja", "Námestie 1. mája": "1_maja", "Jána Pavla II.": "ii", "Námestie": "", "Štúrova": "stur", "M. R. Štefánika": "stefanik", "Ulica": "", "5 ulica": "5", "A. B.": ""}
     assert column(spark, list(cases), text.suffix_key) == list(cases.values())

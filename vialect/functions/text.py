@@ -20,22 +20,44 @@ WORD_SUFFIXES = ("oveho", "ovej", "ova", "ovo", "ov", "eho", "ej", "a", "o", "u"
 # Letters whose ASCII form isn't their base letter.
 LONG_FORMS = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ĳ": "ij"}
 SHORT_FORMS = {"ø": "o", "đ": "d", "ð": "d", "ł": "l", "ħ": "h", "ı": "i", "ŧ": "t", "ſ": "s"}
+# Rarer Latin letters, and Greek and Cyrillic ones, by one ASCII letter each.
+RARE_SHORT = dict(
+    zip(
+        "ȷĸŀƀƃƈƌƍƒƙƚƛƞƥƫƭƴƶƿǥȡȥȴȵȶȼȿɀɇɉɋɍɏ" + "αβγδεζηικλμνξοπρσςτυω" + "абвгдезийклмнопрстуфыэґіјѝў",
+        "jklbbcddfkllnpttyzwgdzlntcszejqry" + "abgdezeiklmnxoprsstuo" + "abvgdeziiklmnoprstufyegijiu",
+        strict=True,
+    )
+)
+RARE_LONG = {
+    "ŋ": "ng", "ƕ": "hv", "ƣ": "oi", "ǆ": "dz", "ǉ": "lj", "ǌ": "nj", "ǳ": "dz", "ǣ": "ae", "ǽ": "ae", "ȣ": "ou", "ȝ": "y", "ȸ": "db", "ȹ": "qp", "ŉ": " n", "ǯ": "zh",
+    "θ": "th", "φ": "ph", "χ": "kh", "ψ": "ps",
+    "ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "iu", "я": "ia", "ё": "io", "ѐ": "ie", "ђ": "dj", "ѓ": "gj", "є": "ie", "ѕ": "dz", "ї": "yi", "љ": "lj", "њ": "nj", "ћ": "tsh", "ќ": "kj", "џ": "dzh",
+}
 
 
 def latin_table() -> tuple[str, str]:
-    """Lower-case Latin letters with marks and their ASCII letters, from the canonical decompositions of Unicode."""
-    found = dict(SHORT_FORMS)
-    for code in (*range(0xDF, 0x250), *range(0x1E00, 0x1F00)):
+    """Lower-case letters with marks and their ASCII letters: from the canonical decompositions of Unicode, down to a letter
+    of the lists above."""
+    found = SHORT_FORMS | RARE_SHORT
+    for code in (*range(0xDF, 0x250), *range(0x370, 0x3D0), *range(0x430, 0x460), *range(0x1E00, 0x2000)):
         base = unicodedata.normalize("NFD", chr(code))[0]
-        if base != chr(code) and base.isascii() and base.islower():
+        base = found.get(base, base)
+        if chr(code) not in found and chr(code) not in RARE_LONG and base != chr(code) and base.isascii() and base.islower():
             found[chr(code)] = base
     return "".join(found), "".join(found.values())
 
 
 def ascii_norm(s: Column) -> Column:
-    """Lower-case ASCII letters, digits and single spaces; anything else is a space. Marks are dropped, Latin letters transliterated."""
+    """Lower-case ASCII letters, digits and single spaces; anything else is a space. Marks are dropped; Latin, Greek and
+    Cyrillic letters are transliterated."""
     s = F.regexp_replace(F.lower(s), "[̀-ͯ]", "")
     s = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), LONG_FORMS.items(), s)
+
+    def rare(t: Column) -> Column:
+        spelled = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), RARE_LONG.items(), t)
+        return F.when(t.rlike(f"[{''.join(RARE_LONG)}]"), spelled).otherwise(t)
+
+    s = F.get(F.transform(F.array(s), rare), F.lit(0))  # evaluated once; few names hold any of these letters
     s = F.translate(s, *latin_table())
     return F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
 
@@ -44,7 +66,7 @@ def ascii_norm(s: Column) -> Column:
 def ascii_norm_unicode(s: pd.Series) -> pd.Series:
     """As ``ascii_norm`` for text in compatibility forms (ligatures, full-width letters), which Spark has no function for."""
     folded = s.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t.lower()))
-    table = str.maketrans({**LONG_FORMS, **SHORT_FORMS})
+    table = str.maketrans({**LONG_FORMS, **SHORT_FORMS, **RARE_SHORT, **RARE_LONG})
     return folded.map(lambda t: None if t is None else " ".join("".join(c if c.isascii() and c.isalnum() else "" if unicodedata.combining(c) else " " for c in t.translate(table)).split()))
 
 

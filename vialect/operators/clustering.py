@@ -23,17 +23,25 @@ def nodes(names: DataFrame, name: str = "name", pos: str = "pos") -> DataFrame:
     return first.withColumn("p", preprocess_name(F.col("name"))).filter("p <> ''")
 
 
-def _rare_first(sets: DataFrame, needed: Column) -> DataFrame:
-    """(pos, token) of the prefix of each set in the order of rising frequency: sets with ``needed`` common members share one."""
+def _rare_first(sets: DataFrame, needed: Column, together: int) -> DataFrame:
+    """(pos, token) of the prefix of each set in the order of rising frequency.
+
+    Sets with ``needed`` common members share one within the first n - needed + 1 of either, and two within one member
+    more, and so on. With ``together`` = 2 the tokens are all pairs within that prefix, which are far rarer than members.
+    """
     tokens = sets.select("pos", "n", F.explode("members").alias("token"))
     frequency = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
     ranked = tokens.join(frequency, "token").groupBy("pos", "n").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("ordered"))
-    return ranked.select("pos", F.explode(F.slice("ordered", F.lit(1), (F.col("n") - needed + 1).cast("int"))).alias("o")).select("pos", F.col("o.token").alias("token"))
+    prefix = ranked.select("pos", "n", F.transform(F.slice("ordered", F.lit(1), (F.col("n") - needed + together).cast("int")), lambda o: o["token"]).alias("prefix"))
+    if together == 1:
+        return prefix.select("pos", F.explode("prefix").alias("token"))
+    pairs = F.flatten(F.transform("prefix", lambda x, i: F.transform(F.slice("prefix", i + 2, F.size("prefix")), lambda y: F.concat(x, F.lit(" "), y))))
+    return prefix.select("pos", F.explode(F.when(F.col("n") > 1, pairs).otherwise(F.col("prefix"))).alias("token"))
 
 
-def _candidates(sets: DataFrame, needed: Column, shortest: float) -> DataFrame:
+def _candidates(sets: DataFrame, needed: Column, shortest: float, together: int = 1) -> DataFrame:
     """Pairs (i, j) with j before i that share a prefix token and have sizes that allow the threshold."""
-    prefix = _rare_first(sets, needed).join(sets.select("pos", "n"), "pos")
+    prefix = _rare_first(sets, needed, together).join(sets.select("pos", "n"), "pos")
     a, b = prefix.alias("a"), prefix.alias("b")
     near = (F.col("b.pos") < F.col("a.pos")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * shortest - 1e-9)
     return a.join(b, (F.col("a.token") == F.col("b.token")) & near).select(F.col("a.pos").alias("i"), F.col("b.pos").alias("j")).distinct()
@@ -49,10 +57,15 @@ def jaccard_edges(names: DataFrame, threshold: float = DEFAULTS.ngram_jaccard, n
 
 
 def indel_edges(names: DataFrame, threshold: float = DEFAULTS.indel_ratio) -> DataFrame:
-    """(i, j, s) for names with InDel ratio from ``threshold``, j before i. Common letters bound the common subsequence."""
+    """(i, j, s) for names with InDel ratio from ``threshold``, j before i.
+
+    Common letters bound the common subsequence. Single letters are too frequent to find candidates by, so pairs of the
+    rarest ones are used; above 2/3 names of two letters or more have two in common, and one of one letter is near to
+    itself only.
+    """
     sets = names.select("pos", "p", letters(F.col("p")).alias("members")).withColumn("n", F.length("p"))
     shortest = threshold / (2 - threshold)
-    pairs = _candidates(sets.drop("p"), F.ceil(F.col("n") * shortest - 1e-9), shortest)
+    pairs = _candidates(sets.drop("p"), F.ceil(F.col("n") * shortest - 1e-9), shortest, 2 if threshold > 2 / 3 else 1)
     both = pairs.join(sets.select(F.col("pos").alias("i"), F.col("p").alias("x"), F.col("members").alias("u")), "i")
     both = both.join(sets.select(F.col("pos").alias("j"), F.col("p").alias("y"), F.col("members").alias("v")), "j")
     both = both.filter(2 * F.size(F.array_intersect("u", "v")) >= threshold * (F.length("x") + F.length("y")) - 1e-9)

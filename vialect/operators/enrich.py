@@ -16,10 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vialect import schemas
 from vialect.functions.text import ascii_norm, clean_reply, strip_fence
 from vialect.operators.graph import stored
 from vialect.operators.ground_truth import missing, parse_entity
 from vialect.settings import DEFAULTS, Settings
+from vialect.sources import files
 
 # The examples shown to a model.
 EXAMPLES = {
@@ -115,13 +117,32 @@ def uncached(names: DataFrame, cache: DataFrame, model: str) -> DataFrame:
     return names.select("name").join(cache.filter(F.col("model") == model).select("name"), "name", "left_anti")
 
 
+def _answers(requests: DataFrame, complete: Callable[[str, str, int], str], settings: Settings, model: str, lanes: int) -> DataFrame:
+    """Rows of a cache for the names of some batches, each asked for once."""
+    replies = stored(ask(requests.repartition(lanes, "lane"), complete, settings))
+    answers = replies.withColumn("a", F.from_json(strip_fence(F.col("reply")), "map<string,string>")).select(F.explode("names").alias("name"), "a")
+    return _dated(answers.select("name", canonical(F.col("name"), F.try_element_at("a", F.col("name")), settings).alias("canonical")), model)
+
+
 def warm(names: DataFrame, cache: DataFrame, model: str, complete: Callable[[str, str, int], str], settings: Settings = DEFAULTS, lanes: int = 1) -> DataFrame:
     """``cache`` with an answer for every name, asked for in batches; failures are cached as such."""
     requests = batches(uncached(names, cache, model), settings.llm_batch, lanes).withColumn("message", prompt(F.col("names")))
-    replies = stored(ask(requests.repartition(lanes, "lane"), complete, settings))
-    answers = replies.withColumn("a", F.from_json(strip_fence(F.col("reply")), "map<string,string>")).select(F.explode("names").alias("name"), "a")
-    rows = answers.select("name", canonical(F.col("name"), F.try_element_at("a", F.col("name")), settings).alias("canonical"))
-    return cache.unionByName(_dated(rows, model))
+    return cache.unionByName(_answers(requests, complete, settings, model, lanes))
+
+
+def warm_saved(
+    names: DataFrame, path: str, model: str, complete: Callable[[str, str, int], str], settings: Settings = DEFAULTS, lanes: int = 1, at_a_time: int = 1
+) -> DataFrame:
+    """The cache at ``path`` with an answer for every name; after every ``at_a_time`` batches of each lane their answers are
+    appended to it, so a job that fails has lost those of one such round and asks for no more when it is run again."""
+    spark = names.sparkSession
+    cache = files.read_or_empty(spark, path, schemas.LLM_CACHE)
+    requests = stored(batches(uncached(names, cache, model), settings.llm_batch, lanes).withColumn("message", prompt(F.col("names"))))
+    last = requests.agg(F.max("batch")).head()[0]
+    for low in range(0, 0 if last is None else last + 1, at_a_time):
+        some = requests.filter(F.col("batch").between(low, low + at_a_time - 1))
+        files.append_cache(_answers(some, complete, settings, model, lanes), path)
+    return files.read_or_empty(spark, path, schemas.LLM_CACHE)
 
 
 def warm_single(names: DataFrame, cache: DataFrame, model: str, complete: Callable[[str, str, int], str], settings: Settings = DEFAULTS, lanes: int = 1) -> DataFrame:

@@ -55,12 +55,22 @@ def problem_entities(assigned: DataFrame, n: int = DEFAULTS.problem_entities) ->
     return entity_scores(assigned).orderBy("score", "wikidata_id").limit(n).filter("score < 1")
 
 
-def report(assigned: DataFrame, method: str, n: int = DEFAULTS.problem_entities) -> DataFrame:
-    """The evaluation of a method as one nested row, ready for JSON: collisions by group, problems by score."""
-    named = collisions(assigned).groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("wikidata_id", "label"))).alias("entities"))
-    collided = named.agg(F.array_sort(F.collect_list(F.struct("group_id", "entities"))).alias("collisions"))
-    lowest = entity_scores(assigned).filter("score < 1").orderBy("score", "wikidata_id").limit(n)
-    fields = ("wikidata_id", "entity_label", "score", "total_variants", "dominant_count", "unique_groups")
-    lowest = lowest.agg(F.transform(F.array_sort(F.collect_list(F.struct("score", F.col("wikidata_id").alias("id"), F.struct(*fields).alias("e")))), lambda x: x["e"]).alias("problem_entities"))
+def report(assigned: DataFrame, method: str) -> DataFrame:
+    """The evaluation of a method as one nested row, ready for JSON: all collisions and all entities below 1.
+
+    Collisions stand in the order in which their groups are first seen, their entities in that of the ground truth, each
+    with its last label; problem entities by score, equal ones in the order of the ground truth. That order is ``pos``
+    where the rows have it, else that of ids and names. Rates and scores have four places.
+    """
+    pos = F.col("pos") if "pos" in assigned.columns else F.struct("wikidata_id", "name")
+    rows = assigned.withColumn("_at", pos)
+    entities = rows.groupBy("wikidata_id").agg(F.min("_at").alias("seen"), F.max_by("entity_label", "_at").alias("label"))
+    groups = rows.filter("group_id <> ''").groupBy("group_id").agg(F.min("_at").alias("first"))
+    named = collisions(assigned).select("group_id", "wikidata_id").join(entities, "wikidata_id").groupBy("group_id")
+    named = named.agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "wikidata_id", "label"))), lambda x: F.struct(x["wikidata_id"].alias("wikidata_id"), x["label"].alias("label"))).alias("entities"))
+    collided = named.join(groups, "group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "group_id", "entities"))), lambda x: F.struct(x["group_id"].alias("group_id"), x["entities"].alias("entities"))).alias("collisions"))
+    fields = ("wikidata_id", "entity_label", F.bround("score", 4).alias("score"), "total_variants", "dominant_count", "unique_groups")
+    lowest = entity_scores(assigned).filter("score < 1").join(entities, "wikidata_id")
+    lowest = lowest.agg(F.transform(F.array_sort(F.collect_list(F.struct("score", "seen", F.col("wikidata_id").alias("id"), F.struct(*fields).alias("e")))), lambda x: x["e"]).alias("problem_entities"))
     rates = summary(assigned).withColumns({c: F.bround(c, 4) for c in ("grouping_rate", "collision_rate")})
     return rates.crossJoin(collided).crossJoin(lowest).select(F.lit(method).alias("method"), "*")

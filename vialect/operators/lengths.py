@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vialect.functions import geo
+from vialect.operators.graph import stored
 from vialect.operators.spatial import segment_components
 from vialect.settings import DEFAULTS
 
@@ -22,7 +23,8 @@ def rollup(segments: DataFrame, name: str = "name", length: str = "length_m", cl
 
 def street_lengths(lines: DataFrame, eps: float = DEFAULTS.cluster_eps, spheroid: bool = True) -> DataFrame:
     """Lengths of all names from Web Mercator lines: geodesic metres, and clusters of segments within ``eps`` metres."""
-    rows = named(lines).withColumn("line_id", F.monotonically_increasing_id())
+    # Ids are stored before two branches read them: a scan that is repeated might number its rows otherwise.
+    rows = stored(named(lines).withColumn("line_id", F.monotonically_increasing_id()))
     measured = rows.withColumn("length_m", geo.geodesic_length(F.col("way")) if spheroid else geo.haversine_length(F.col("way")))
     clusters = segment_components(rows.select("line_id", "name", geo.to_metric(F.col("way")).alias("way")), eps)
     return rollup(measured.join(clusters, "line_id", "left"))

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vialect import schemas
 from vialect.functions.text import suffix_key
 from vialect.operators import clustering, enrich
+from vialect.sources import files, services
 
 Assign = Callable[[DataFrame], DataFrame]
 
@@ -44,26 +46,37 @@ def from_function(f: Callable[[str], str]) -> Assign:
 
 @dataclass
 class ModelNormalizer:
-    """Groups by a language model's answers. ``complete`` and ``cache`` are set by the caller; calls fill the cache."""
+    """Groups by a language model's answers; calls fill the cache. ``complete`` and ``cache`` may be set by the caller. With
+    a ``path`` the cache is a table there, to which answers are appended batch by batch."""
 
     provider: str
     model: str
     complete: Callable[[str, str, int], str] | None = None
     cache: DataFrame | None = None
+    path: str | None = None
 
     def _ready(self, names: DataFrame) -> None:
         if self.complete is None:
-            raise LookupError(f"{self.model}: no provider function was given")
+            self.complete = services.model_source(self.provider, self.model)
+        if self.complete is None:
+            raise LookupError(f"{self.model}: no provider function was given, and {services.KEYS[self.provider]} isn't set")
         if self.cache is None:
-            self.cache = names.sparkSession.createDataFrame([], "model string, name string, canonical string, updated_on string")
+            spark = names.sparkSession
+            self.cache = files.read_or_empty(spark, self.path, schemas.LLM_CACHE) if self.path else spark.createDataFrame([], schemas.LLM_CACHE)
 
     def warm(self, names: DataFrame) -> None:
         self._ready(names)
-        self.cache = enrich.warm(names, self.cache, self.model, self.complete)
+        if self.path:
+            self.cache = enrich.warm_saved(names, self.path, self.model, self.complete)
+        else:
+            self.cache = enrich.warm(names, self.cache, self.model, self.complete)
 
     def __call__(self, names: DataFrame) -> DataFrame:
         self._ready(names)
-        self.cache = enrich.warm_single(names, self.cache, self.model, self.complete)
+        if self.path:
+            self.warm(names)
+        else:
+            self.cache = enrich.warm_single(names, self.cache, self.model, self.complete)
         return enrich.assign(names, self.cache, self.model)
 
     def cache_date(self) -> str | None:

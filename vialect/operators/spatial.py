@@ -20,21 +20,24 @@ def _labelled(rows: DataFrame, id_: str, edges: DataFrame, present: Column) -> D
 def point_components(points: DataFrame, eps: float, id_: str = "id", key: str = "name", x: str = "x", y: str = "y") -> DataFrame:
     """(id, cluster_id) of points within ``eps`` of each other, directly or over others, inside each key.
 
-    Cells have the diagonal ``eps``, so all points of a cell are one cluster and are tied to its smallest id; of two
-    cells that are near each other the closest points decide. Points of equal place are taken once.
+    Cells have the diagonal ``eps``, so all points of a cell are one cluster, named by its smallest id; of two cells that
+    are near each other the closest points decide. Components are sought among the cells only, so their rounds don't see
+    the points. Points of equal place are taken once.
     """
     side = eps / math.sqrt(2)
     here = F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(key).isNotNull()
     cells = points.filter(here).select(F.col(id_).alias("id"), F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"), F.floor(F.col(x) / side).alias("cx"), F.floor(F.col(y) / side).alias("cy"))
     heads = cells.groupBy("k", "cx", "cy").agg(F.min("id").alias("head"))
-    inside = cells.join(heads, ["k", "cx", "cy"]).filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
     places = cells.groupBy("k", "cx", "cy", "x", "y").agg(F.min("id").alias("id"))
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)])
     sent = places.withColumn("s", F.explode(steps)).select("k", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("cx").alias("fx"), F.col("cy").alias("fy"))
     near = places.join(sent, ["k", "cx", "cy"]).filter(F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")) <= eps)
     linked = near.select("k", "cx", "cy", "fx", "fy").distinct().join(heads, ["k", "cx", "cy"])
     across = linked.join(heads.select("k", F.col("cx").alias("fx"), F.col("cy").alias("fy"), F.col("head").alias("other")), ["k", "fx", "fy"])
-    return _labelled(points, id_, inside.unionByName(across.select(F.col("head").alias("a"), F.col("other").alias("b"))), here)
+    roots = components(across.select(F.col("head").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "head")
+    named = heads.join(roots, "head", "left").select("k", "cx", "cy", F.coalesce("root", "head").alias("cluster_id"))
+    found = cells.join(named, ["k", "cx", "cy"]).select(F.col("id").alias(id_), "cluster_id")
+    return points.select(id_).join(found, id_, "left")
 
 
 def _to_segment(p: Column, a: Column, b: Column) -> Column:

@@ -1,9 +1,7 @@
 """Every query over the reference operators, with the SQL that must give the same rows.
 
 The test tables have no streets, so queries read names from documents and parts, tags from the events' properties, and
-coordinates from embeddings. Each runs over its whole tables. The SQL of preprocess_names, suffix_group_keys, word_stems,
-ngram_sets and clean_replies takes the first three words of a document for its name; preprocess_texts, suffix_keys_texts,
-word_stems_texts, ngram_sets_texts and clean_replies_texts do the same work on whole texts, as leader_jaccard_titles does.
+coordinates from embeddings. Each runs over its whole tables and whole texts.
 """
 
 from __future__ import annotations
@@ -21,15 +19,6 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _title() -> Column:
-    return F.array_join(F.slice(F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), " "), 1, 3), " ")
-
-
-def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, name): the first three words of each document, as the SQL of the queries over them has it."""
-    return _read(spark, sf_dir, "documents").select("doc_id", _title().alias("name"))
-
-
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, name): the whole text of each document on one line."""
     return _read(spark, sf_dir, "documents").select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")).alias("name"))
@@ -106,18 +95,10 @@ def ascii_norm_unicode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preprocess_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _preprocessed_names(_titles(spark, sf_dir))
-
-
-def preprocess_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _preprocessed_names(_texts(spark, sf_dir))
 
 
 def suffix_group_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _suffix_keys(_titles(spark, sf_dir))
-
-
-def suffix_keys_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _suffix_keys(_texts(spark, sf_dir))
 
 
@@ -127,18 +108,10 @@ def ordinal_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stems(_titles(spark, sf_dir))
-
-
-def word_stems_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stems(_texts(spark, sf_dir))
 
 
 def ngram_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gram_sets(_titles(spark, sf_dir))
-
-
-def ngram_sets_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gram_sets(_texts(spark, sf_dir))
 
 
@@ -185,12 +158,6 @@ def untagged_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metadata_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = _read(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.lit("old").alias("value"))
-    new = _read(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_name").alias("key"), F.concat(F.lit("new "), F.col("n_nationkey").cast("string")).alias("value"))
-    return lengths.upsert(old, new)
-
-
-def metadata_upsert_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Region names keep their rows, nation names are updated, supplier names are added."""
     nation = _read(spark, sf_dir, "nation")
     old = nation.select(F.col("n_name").alias("key")).unionByName(_read(spark, sf_dir, "region").select(F.col("r_name").alias("key"))).withColumn("value", F.lit("old"))
@@ -213,8 +180,11 @@ def name_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mapping_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nested result as it goes to JSON."""
-    return mappings.nested(normalizers.by_suffix(_street_rows(spark, sf_dir)), "suffix_stripping").select("method", F.to_json(F.struct("groups")).alias("groups_json"))
+    """The nested result as it goes to JSON, with a row for each entry of its two maps."""
+    whole = mappings.nested(normalizers.by_suffix(_street_rows(spark, sf_dir)), "suffix_stripping")
+    names = whole.select("method", F.explode("mapping").alias("key", "group_id")).withColumns({c: F.lit(None).cast("string") for c in ("representative", "variants")}).withColumn("total_length", F.lit(None).cast("double"))
+    found = whole.select("method", F.explode("groups").alias("group_id", "g"))
+    return names.unionByName(found.select("method", F.lit(None).cast("string").alias("key"), "group_id", "g.representative", F.array_join("g.variants", "; ").alias("variants"), "g.total_length"))
 
 
 def entity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +205,13 @@ def collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.report(_assigned(spark, sf_dir), "suffix_stripping").select("method", F.to_json(F.struct("*")).alias("json"))
+    """The report as it goes to JSON, with a row for each entity of its two lists, in their order (k, j)."""
+    whole = evaluation.report(_assigned(spark, sf_dir), "suffix_stripping")
+    named = whole.select("method", F.posexplode("collisions").alias("k", "c")).select("method", "k", "c.group_id", F.posexplode("c.entities").alias("j", "e"))
+    named = named.select("method", F.lit("collisions").alias("section"), "k", "j", "group_id", "e.wikidata_id", "e.label", *[F.lit(None).cast(t).alias(c) for c, t in (("score", "double"), ("total_variants", "bigint"))])
+    lowest = whole.select("method", F.posexplode("problem_entities").alias("k", "e"))
+    lowest = lowest.select("method", F.lit("problem_entities").alias("section"), "k", F.lit(0).alias("j"), F.lit(None).cast("string").alias("group_id"), "e.wikidata_id", F.col("e.entity_label").alias("label"), "e.score", "e.total_variants")
+    return named.unionByName(lowest)
 
 
 def match_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,11 +232,6 @@ def _records(nations: DataFrame) -> DataFrame:
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records for the ids of even nations, as the SQL of the queries over them has it."""
-    return _records(_read(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0"))
-
-
-def _all_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records for the ids of all nations; those of the brands go beyond them, so some have none."""
     return _records(_read(spark, sf_dir, "nation"))
 
@@ -281,22 +252,6 @@ def missing_entities_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ground_truth.missing(ground_truth.entity_ids(_pairs(spark, sf_dir)), _entities(spark, sf_dir))
 
 
-def entity_left_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ground_truth.score(_pairs(spark, sf_dir), _all_entities(spark, sf_dir))
-
-
-def confidence_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ground_truth.confidence_counts(entity_left_join_all(spark, sf_dir))
-
-
-def ground_truth_grouped_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ground_truth.grouped(entity_left_join_all(spark, sf_dir))
-
-
-def missing_entities_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ground_truth.missing(ground_truth.entity_ids(_pairs(spark, sf_dir)), _all_entities(spark, sf_dir))
-
-
 def tagged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ground_truth.pairs(_tagged_events(spark, sf_dir), "k")
 
@@ -386,11 +341,59 @@ def llm_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cleaned(_titles(spark, sf_dir))
+    return _cleaned(_texts(spark, sf_dir))
 
 
-def clean_replies_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cleaned(_texts(spark, sf_dir))
+def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache of answers for the supplier names, of two models and several days."""
+    k = F.col("s_suppkey")
+    return _read(spark, sf_dir, "supplier").select(
+        F.when(k % 3 == 0, "other").otherwise("m").alias("model"), F.col("s_name").alias("name"), F.when(k % 5 == 0, "").otherwise(F.lower("s_name")).alias("canonical"),
+        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (k % 40).cast("int")), "yyyy-MM-dd").alias("updated_on"),
+    )
+
+
+def uncached_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier and customer names that a model hasn't answered."""
+    asked = _read(spark, sf_dir, "supplier").select(F.col("s_name").alias("name")).unionByName(_read(spark, sf_dir, "customer").select(F.col("c_name").alias("name")))
+    return enrich.uncached(asked, _cache(spark, sf_dir), "m")
+
+
+def cached_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.assign(_read(spark, sf_dir, "supplier").select(F.col("s_name").alias("name")), _cache(spark, sf_dir), "m")
+
+
+def cache_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.cache_date(_cache(spark, sf_dir), "m")
+
+
+def fenced_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies with and without a code fence around them."""
+    k = F.col("p_partkey")
+    fenced = F.when(k % 3 == 0, F.concat(F.lit(" ```json\n"), "p_name", F.lit("\n```\n"))).when(k % 3 == 1, F.concat(F.lit("\n"), "p_name", F.lit("  "))).otherwise(F.concat(F.lit("```\n"), "p_name"))
+    return _read(spark, sf_dir, "part").select("p_partkey", text.strip_fence(fenced).alias("reply"))
+
+
+def cache_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "supplier").select("s_suppkey", text.cache_name(F.concat("s_name", F.lit("/v1.5:x é_-"))).alias("file"))
+
+
+def points_of_the_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of two dimensions: (x, y) on a lattice of step 1, so two places are near exactly if they are neighbours there."""
+    k = F.col("o_orderkey")
+    rows = _read(spark, sf_dir, "orders").select(k.alias("id"), F.col("o_orderstatus").alias("name"), ((k * 7919) % 61).cast("double").alias("x"), ((k * 104729) % 59).cast("double").alias("y"))
+    found = spatial.point_components(rows, 1.001).join(rows, "id")
+    return found.groupBy("name").agg(F.count_distinct("cluster_id").alias("clusters"), F.count(F.lit(1)).alias("n"), F.count_distinct("x", "y").alias("places"))
+
+
+def tile_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each tile of a zoom at which none comes near a tile's edge with its bounds only: one row for each tile."""
+    return tiles.tiles(tiles.features(_lines(spark, sf_dir), 5)).select("z", "x", "y", "n_features")
+
+
+def street_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one tile of a request."""
+    return tiles.tile(_lines(spark, sf_dir), 5, 17, 11).select("z", "x", "y", "n_features", F.length("mvt").alias("n_bytes"))
 
 
 def custom_normalizer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,8 +408,7 @@ QUERIES = {
         leader_jaccard_titles, name_length_rollup, longest_names, tag_coverage_counts, untagged_distinct, metadata_upsert, metadata_value, group_rollup_representative, name_mapping, mapping_json, entity_scores,
         evaluation_summary, problem_entities, collisions, evaluation_report, match_confidence, entity_left_join, confidence_counts, ground_truth_grouped, missing_entities_anti, tagged_pairs, parse_entities,
         split_join_names, lengths_csv_round_trip, dbscan_street_count, segment_clusters, tile_envelope, mercator_to_lonlat, haversine_length, bbox_filter, geodesic_length, street_lengths, mvt_tiles,
-        llm_stub_batches, llm_batches, clean_replies, custom_normalizer, preprocess_texts, suffix_keys_texts, word_stems_texts, ngram_sets_texts, clean_replies_texts,
-        metadata_upsert_all, entity_left_join_all, confidence_counts_all, ground_truth_grouped_all, missing_entities_all,
+        llm_stub_batches, llm_batches, clean_replies, custom_normalizer, uncached_names, cached_groups, cache_dates, fenced_replies, cache_names, points_of_the_plane, tile_features, street_tile,
     )
 }
 
@@ -420,7 +422,6 @@ def _norm(s: str) -> str:
 
 
 _TYPES = ", ".join(f"'{t}'" for t in text.STREET_TYPES)
-_TITLES = "titles AS (SELECT doc_id, array_to_string(string_split(replace(coalesce(text, ''), chr(10), ' '), ' ')[1:3], ' ') AS name FROM documents)"
 _TEXTS = "texts AS (SELECT doc_id, replace(coalesce(text, ''), chr(10), ' ') AS name FROM documents)"
 _WORDS = "list_filter(string_split({norm}, ' '), lambda t: t <> '')"
 _PROPER = f"list_filter({{w}}, lambda t: NOT list_contains([{_TYPES}], t) AND NOT regexp_full_match(t, '[a-z]'))"
@@ -480,21 +481,20 @@ def _confidence(street: str, labels: str, human: str) -> str:
 
 _PAIRS = "pairs AS (SELECT DISTINCT p_name AS name, 'Q' || regexp_extract(p_brand, '[0-9]+') AS wikidata_id FROM part)"
 _ENTITIES = """entities AS (SELECT 'Q' || n_nationkey AS qid, [CASE n_nationkey % 3 WHEN 0 THEN 'Red Bolt' WHEN 1 THEN 'Gear Town' ELSE 'Small' END, n_name] AS labels, n_nationkey % 4 = 0 AS is_human
-  FROM nation WHERE n_nationkey % 2 = 0)"""
+  FROM nation)"""
 _SCORED = f"""{_PAIRS}, {_ENTITIES}, scored AS (SELECT name AS street_name, wikidata_id, coalesce(labels[1], wikidata_id) AS entity_label, is_human,
   CASE WHEN qid IS NULL THEN 0.0 ELSE {_confidence('name', 'labels', 'is_human')} END AS confidence FROM pairs LEFT JOIN entities ON qid = wikidata_id)"""
-_ALL_ENTITIES = _ENTITIES.replace("\n  FROM nation WHERE n_nationkey % 2 = 0", "\n  FROM nation")
 _POINTS = "points AS (SELECT vec_id, list_transform([1, 3, 5, 7], lambda i: 1900000.0::DOUBLE + embedding[i]::DOUBLE * 4000) AS xs, list_transform([2, 4, 6, 8], lambda i: 6200000.0::DOUBLE + embedding[i]::DOUBLE * 4000) AS ys FROM embeddings)"
 _R = geo.RADIUS
 _LEG = f"2 * {geo.MEAN_RADIUS} * asin(sqrt(least(1.0, pow(sin(radians(la[i + 1] - la[i]) / 2), 2) + cos(radians(la[i])) * cos(radians(la[i + 1])) * pow(sin(radians(lo[i + 1] - lo[i]) / 2), 2))))"
 
 ORACLES = {
     "ascii_norm_documents": f"SELECT doc_id, {_norm('text_')} AS norm FROM (SELECT doc_id, coalesce(text, '') AS text_ FROM documents)",
-    "preprocess_names": f"WITH {_TITLES} SELECT doc_id, {_preprocessed('name')} AS p FROM titles",
-    "suffix_group_keys": f"WITH {_TITLES} SELECT * FROM {_keyed('titles', 'doc_id')}",
+    "preprocess_names": f"WITH {_TEXTS} SELECT doc_id, {_preprocessed('name')} AS p FROM texts",
+    "suffix_group_keys": f"WITH {_TEXTS} SELECT * FROM {_keyed('texts', 'doc_id')}",
     "ordinal_keys": "SELECT * FROM " + _keyed("(SELECT p_partkey, 'Namestie ' || p_size || '. ' || p_name AS name FROM part)", "p_partkey"),
-    "word_stems": f"WITH {_TITLES} SELECT doc_id, {_stem(_norm('name'), text.WORD_SUFFIXES)} AS stem FROM titles",
-    "ngram_sets": f"WITH {_TITLES}, t AS (SELECT doc_id, {_preprocessed('name')} AS p FROM titles) SELECT doc_id, array_to_string(list_sort({_GRAMS}), ',') AS grams FROM t",
+    "word_stems": f"WITH {_TEXTS} SELECT doc_id, {_stem(_norm('name'), text.WORD_SUFFIXES)} AS stem FROM texts",
+    "ngram_sets": f"WITH {_TEXTS}, t AS (SELECT doc_id, {_preprocessed('name')} AS p FROM texts) SELECT doc_id, array_to_string(list_sort({_GRAMS}), ',') AS grams FROM t",
     "jaccard_pairs": f"WITH {_NODES}, {_JACCARD} SELECT i, j, round(s, 6) AS s FROM edges",
     "indel_ratio_pairs": f"WITH {_NODES}, {_INDEL} SELECT i, j, round(s, 6) AS s FROM edges",
     "leader_jaccard": f"WITH RECURSIVE {_NODES}, {_JACCARD}{_LEADERS}",
@@ -504,7 +504,7 @@ ORACLES = {
     "tag_coverage_counts": f"WITH {_TAGGED} SELECT count(DISTINCT name) AS total_street_names, count(DISTINCT CASE WHEN k IS NOT NULL THEN name END) AS etymology_tagged FROM tagged",
     "untagged_distinct": f"WITH {_TAGGED} SELECT DISTINCT name FROM tagged WHERE k IS NULL",
     "tagged_pairs": f"WITH {_TAGGED} SELECT DISTINCT name, k AS wikidata_id FROM tagged WHERE k IS NOT NULL",
-    "metadata_upsert": "SELECT n_name AS key, CASE WHEN n_nationkey % 2 = 0 THEN 'new ' || n_nationkey ELSE 'old' END AS value FROM nation",
+    "metadata_upsert": "SELECT r_name AS key, 'old' AS value FROM region UNION ALL SELECT n_name, 'new ' || n_nationkey FROM nation UNION ALL SELECT s_name, 'new ' || s_suppkey FROM supplier",
     "metadata_value": "SELECT n_regionkey::VARCHAR AS value FROM nation WHERE n_name = 'NATION_7'",
     "group_rollup_representative": f"""WITH {_STREETS} SELECT group_id, arg_max(name, (total_m, -pos)) FILTER (total_m > 0) AS representative, round_even(sum(total_m), 1) AS total_length, sum(segments_count)::BIGINT AS segment_count,
   sum(street_count)::BIGINT AS street_count, string_agg(name, '; ' ORDER BY pos) AS variants FROM {_keyed('streets', '*')} WHERE group_id <> '' GROUP BY group_id""",
@@ -536,19 +536,28 @@ SELECT vec_id, round(list_sum(list_transform([1, 2, 3], lambda i: {_LEG})), 3) A
     "bbox_filter": f"WITH {_POINTS} SELECT vec_id FROM points WHERE list_min(xs) <= 1900500 AND list_max(xs) >= 1899000 AND list_min(ys) <= 6200500 AND list_max(ys) >= 6199000",
     "llm_stub_batches": f"SELECT DISTINCT p_name AS name, {_norm('p_name')} AS group_id FROM part",
     "llm_batches": "SELECT b AS batch, count(*)::INT AS n, min(name) AS first_name FROM (SELECT name, ((row_number() OVER (ORDER BY name) - 1) // 40)::BIGINT AS b FROM (SELECT DISTINCT p_name AS name FROM part)) GROUP BY b",
-    "clean_replies": f"WITH {_TITLES} SELECT doc_id, {_norm('name')} AS cleaned FROM titles",
+    "clean_replies": f"WITH {_TEXTS} SELECT doc_id, {_norm('name')} AS cleaned FROM texts",
     "custom_normalizer": "SELECT DISTINCT p_name AS name, p_name[1:3] AS group_id FROM part",
 }
+_CACHE = "cache AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'other' ELSE 'm' END AS model, s_name AS name, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE lower(s_name) END AS canonical, strftime(DATE '2024-01-01' + (s_suppkey % 40)::INTEGER, '%Y-%m-%d') AS updated_on FROM supplier)"
 ORACLES |= {
-    "preprocess_texts": f"WITH {_TEXTS} SELECT doc_id, {_preprocessed('name')} AS p FROM texts",
-    "suffix_keys_texts": f"WITH {_TEXTS} SELECT * FROM {_keyed('texts', 'doc_id')}",
-    "word_stems_texts": f"WITH {_TEXTS} SELECT doc_id, {_stem(_norm('name'), text.WORD_SUFFIXES)} AS stem FROM texts",
-    "ngram_sets_texts": f"WITH {_TEXTS}, t AS (SELECT doc_id, {_preprocessed('name')} AS p FROM texts) SELECT doc_id, array_to_string(list_sort({_GRAMS}), ',') AS grams FROM t",
-    "clean_replies_texts": f"WITH {_TEXTS} SELECT doc_id, {_norm('name')} AS cleaned FROM texts",
-}
-ORACLES["metadata_upsert_all"] = """SELECT r_name AS key, 'old' AS value FROM region UNION ALL SELECT n_name, 'new ' || n_nationkey FROM nation UNION ALL SELECT s_name, 'new ' || s_suppkey FROM supplier"""
-ORACLES |= {
-    f"{new}_all": ORACLES[old].replace(_ENTITIES, _ALL_ENTITIES)
-    for new, old in (("entity_left_join", "entity_left_join"), ("confidence_counts", "confidence_counts"), ("ground_truth_grouped", "ground_truth_grouped"), ("missing_entities", "missing_entities_anti"))
+    "uncached_names": f"WITH {_CACHE} SELECT name FROM (SELECT s_name AS name FROM supplier UNION ALL SELECT c_name FROM customer) WHERE name NOT IN (SELECT name FROM cache WHERE model = 'm')",
+    "cached_groups": f"WITH {_CACHE} SELECT s_name AS name, coalesce(canonical, '') AS group_id FROM supplier LEFT JOIN cache ON name = s_name AND model = 'm'",
+    "cache_dates": f"WITH {_CACHE} SELECT max(updated_on) AS updated_on FROM cache WHERE model = 'm'",
+    "fenced_replies": "SELECT p_partkey, p_name AS reply FROM part",
+    "cache_names": "SELECT s_suppkey, regexp_replace(s_name || '/v1.5:x é_-', '[^a-zA-Z0-9_-]', '_', 'g') AS file FROM supplier",
+    "points_of_the_plane": """WITH RECURSIVE p AS (SELECT DISTINCT o_orderstatus AS name, (o_orderkey * 7919) % 61 AS x, (o_orderkey * 104729) % 59 AS y FROM orders),
+ r AS (SELECT name, x, y, x * 100 + y AS least FROM p UNION SELECT q.name, q.x, q.y, r.least FROM r JOIN p q ON q.name = r.name AND abs(q.x - r.x) + abs(q.y - r.y) = 1),
+ c AS (SELECT name, x, y, min(least) AS cluster FROM r GROUP BY ALL)
+SELECT name, (SELECT count(DISTINCT cluster) FROM c WHERE c.name = o_orderstatus) AS clusters, count(*) AS n, (SELECT count(*) FROM p WHERE p.name = o_orderstatus) AS places FROM (SELECT o_orderstatus, o_orderstatus AS name FROM orders) GROUP BY name, o_orderstatus""",
 }
+ORACLES["evaluation_report"] = f"""WITH {_ASSIGNED}, {_SCORES}, {_GROUPS},
+ firsts AS (SELECT group_id, min(struct_pack(w := wikidata_id, n := name)) AS f FROM assigned WHERE group_id <> '' GROUP BY group_id),
+ merged AS (SELECT DISTINCT group_id, wikidata_id, entity_label, f FROM assigned JOIN groups USING (group_id) JOIN firsts USING (group_id) WHERE n > 1)
+SELECT 'suffix_stripping' AS method, 'collisions' AS section, (dense_rank() OVER (ORDER BY f) - 1)::INTEGER AS k, (row_number() OVER (PARTITION BY group_id ORDER BY wikidata_id) - 1)::INTEGER AS j,
+  group_id, wikidata_id, entity_label AS label, NULL::DOUBLE AS score, NULL::BIGINT AS total_variants FROM merged
+UNION ALL SELECT 'suffix_stripping', 'problem_entities', (row_number() OVER (ORDER BY score, wikidata_id) - 1)::INTEGER, 0, NULL, wikidata_id, entity_label, round_even(score, 4), total_variants FROM scores WHERE score < 1"""
+ORACLES["mapping_json"] = f"""WITH {_STREETS}, keyed AS (SELECT * FROM {_keyed('streets', '*')} WHERE group_id <> '')
+SELECT 'suffix_stripping' AS method, name AS key, group_id, NULL::VARCHAR AS representative, NULL::VARCHAR AS variants, NULL::DOUBLE AS total_length FROM keyed
+UNION ALL SELECT 'suffix_stripping', NULL, group_id, arg_max(name, (total_m, -pos)) FILTER (total_m > 0), string_agg(name, '; ' ORDER BY pos), round_even(sum(total_m), 1) FROM keyed GROUP BY group_id"""
 ORACLES["ascii_norm_unicode_documents"] = ORACLES["ascii_norm_documents"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from vialect import schemas
 from vialect.operators import evaluation, ground_truth, lengths, mappings
 from vialect.operators.normalizers import Registry, default_registry
 from vialect.session import local_session
+from vialect.settings import DEFAULTS
 from vialect.sources import files
 
 
@@ -46,12 +48,12 @@ def evaluate(spark: SparkSession, grouped: str, methods: list[str], registry: Re
         s = row.head()
         print(f"{method}: grouping {s['grouping_rate']:.1%}, collisions {s['collision_rate']:.1%}; {s['total_entities']} entities, {s['total_variants']} variants, {s['total_groups']} groups")
         if verbose:
-            for e in s["problem_entities"]:
+            for e in s["problem_entities"][: DEFAULTS.problem_entities]:
                 print(f"  {e['entity_label']}: {e['score']:.0%} ({e['dominant_count']}/{e['total_variants']} variants, {e['unique_groups']} groups)")
-            for c in s["collisions"][:10]:
+            for c in s["collisions"][: DEFAULTS.collisions]:
                 print(f"  {c['group_id']!r} merges {', '.join(f'{x.label} ({x.wikidata_id})' for x in c['entities'])}")
     if out:
-        files.write_json(reports.withColumn("generated_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")), out)
+        files.write_json(reports.withColumn("generated_at", F.lit(datetime.now(timezone.utc).isoformat())), out)
     return reports
 
 
@@ -66,7 +68,7 @@ def export_mappings(spark: SparkSession, lengths_csv: str, out: str, methods: li
         groups = assign(rows.groupBy("name").agg(F.min("pos").alias("pos"))).select("name", "group_id")
         row = mappings.nested(rows.join(groups, "name"), method)
         found = row if found is None else found.unionByName(row)
-    files.write_json(found.withColumn("generated_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")), out)
+    files.write_json(found.withColumn("generated_at", F.lit(datetime.now(timezone.utc).isoformat())), out)
     return found
 
 
@@ -84,17 +86,22 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("-o", "--out", default="ground_truth")
     p.add_argument("--grouped", default="ground_truth_grouped")
     p = sub.add_parser("evaluate")
+    p.add_argument("--cache", help="folder of the models' answers")
     p.add_argument("grouped")
     p.add_argument("-m", "--method", action="append")
     p.add_argument("-v", "--verbose", action="store_true")
     p.add_argument("--json")
     p = sub.add_parser("export_mappings")
+    p.add_argument("--cache", help="folder of the models' answers")
     p.add_argument("-i", "--input", default="street_lengths")
     p.add_argument("-o", "--out", default="mappings")
     p.add_argument("-m", "--method", action="append")
     a = parser.parse_args(args)
     spark, registry = local_session(), default_registry()
     local = [m for m in registry.ids() if not m.startswith("llm_")]
+    for m in set(registry.ids()) - set(local):
+        if a.command != "ground_truth" and getattr(a, "cache", None):
+            registry.get(m).path = f"{a.cache.rstrip('/')}/{m}"
     if a.command == "compute":
         compute(spark, a.lines, a.out, a.untagged, a.limit)
     elif a.command == "ground_truth":
