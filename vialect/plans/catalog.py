@@ -381,19 +381,19 @@ def cache_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def points_of_the_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of two dimensions: (x, y) on a lattice of step 1, so two places are near exactly if they are neighbours there."""
     k = F.col("o_orderkey")
-    rows = _read(spark, sf_dir, "orders").select(k.alias("id"), F.col("o_orderstatus").alias("name"), ((k * 7919) % 61).cast("double").alias("x"), ((k * 104729) % 59).cast("double").alias("y"))
+    rows = _read(spark, sf_dir, "orders").select(k.alias("id"), F.col("o_orderstatus").alias("name"), ((k * 7919) % 331).cast("double").alias("x"), ((k * 104729) % 317).cast("double").alias("y"))
     found = spatial.point_components(rows, 1.001).join(rows, "id")
     return found.groupBy("name").agg(F.count_distinct("cluster_id").alias("clusters"), F.count(F.lit(1)).alias("n"), F.count_distinct("x", "y").alias("places"))
 
 
 def tile_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of each tile of a zoom at which none comes near a tile's edge with its bounds only: one row for each tile."""
+    """How many lines each tile holds; a line within one point of a tile's grid is none of them."""
     return tiles.tiles(tiles.features(_lines(spark, sf_dir), 5)).select("z", "x", "y", "n_features")
 
 
 def street_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one tile of a request."""
-    return tiles.tile(_lines(spark, sf_dir), 5, 17, 11).select("z", "x", "y", "n_features", F.length("mvt").alias("n_bytes"))
+    return tiles.tile(_lines(spark, sf_dir), 5, 17, 11).select("z", "x", "y", "n_features")
 
 
 def custom_normalizer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -546,11 +546,16 @@ ORACLES |= {
     "cache_dates": f"WITH {_CACHE} SELECT max(updated_on) AS updated_on FROM cache WHERE model = 'm'",
     "fenced_replies": "SELECT p_partkey, p_name AS reply FROM part",
     "cache_names": "SELECT s_suppkey, regexp_replace(s_name || '/v1.5:x é_-', '[^a-zA-Z0-9_-]', '_', 'g') AS file FROM supplier",
-    "points_of_the_plane": """WITH RECURSIVE p AS (SELECT DISTINCT o_orderstatus AS name, (o_orderkey * 7919) % 61 AS x, (o_orderkey * 104729) % 59 AS y FROM orders),
- r AS (SELECT name, x, y, x * 100 + y AS least FROM p UNION SELECT q.name, q.x, q.y, r.least FROM r JOIN p q ON q.name = r.name AND abs(q.x - r.x) + abs(q.y - r.y) = 1),
+    "points_of_the_plane": """WITH RECURSIVE p AS (SELECT DISTINCT o_orderstatus AS name, (o_orderkey * 7919) % 331 AS x, (o_orderkey * 104729) % 317 AS y FROM orders),
+ r AS (SELECT name, x, y, x * 1000 + y AS least FROM p UNION SELECT q.name, q.x, q.y, r.least FROM r JOIN p q ON q.name = r.name AND abs(q.x - r.x) + abs(q.y - r.y) = 1),
  c AS (SELECT name, x, y, min(least) AS cluster FROM r GROUP BY ALL)
 SELECT name, (SELECT count(DISTINCT cluster) FROM c WHERE c.name = o_orderstatus) AS clusters, count(*) AS n, (SELECT count(*) FROM p WHERE p.name = o_orderstatus) AS places FROM (SELECT o_orderstatus, o_orderstatus AS name FROM orders) GROUP BY name, o_orderstatus""",
 }
+# At zoom 5 all lines lie inside of the tile (17, 11), far from its edges.
+_TILE = geo.WORLD / 32
+ORACLES["tile_features"] = ORACLES["street_tile"] = f"""WITH {_POINTS}, grid AS (SELECT vec_id, len(list_distinct(list_transform([1, 2, 3, 4],
+  lambda i: struct_pack(x := round((xs[i] - {17 * _TILE - geo.WORLD / 2!r}::DOUBLE) / {_TILE!r}::DOUBLE * 4096), y := round(({geo.WORLD / 2 - 11 * _TILE!r}::DOUBLE - ys[i]) / {_TILE!r}::DOUBLE * 4096))))) AS n FROM points)
+SELECT 5 AS z, 17 AS x, 11 AS y, count(*) AS n_features FROM grid WHERE vec_id % 11 <> 0 AND n > 1"""
 ORACLES["evaluation_report"] = f"""WITH {_ASSIGNED}, {_SCORES}, {_GROUPS},
  firsts AS (SELECT group_id, min(struct_pack(w := wikidata_id, n := name)) AS f FROM assigned WHERE group_id <> '' GROUP BY group_id),
  merged AS (SELECT DISTINCT group_id, wikidata_id, entity_label, f FROM assigned JOIN groups USING (group_id) JOIN firsts USING (group_id) WHERE n > 1)
