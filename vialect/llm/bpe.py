@@ -19,7 +19,6 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +30,8 @@ from vialect.llm.common import arrow_batches, written
 
 #: Words of the lexicon, most bytes of one, and chunks that a worker counts or remembers before it starts anew.
 WORDS, LONGEST, KEEP = 65_536, 40, 300_000
+#: Chunks that are merged at a time.
+TOGETHER = 5_000
 #: White space as the tokenizer's patterns see it.
 _SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
 #: What the tokenizer file must say for the splitting here to be its own.
@@ -167,6 +168,8 @@ class Tokenizer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.tokens = [self.model.id_to_token(i) for i in range(self.model.get_vocab_size(with_added_tokens=True))]
+        # Bytes that a token covers: a character of it stands for each, but for the mark of a word's end.
+        self.sizes = np.array([len(t) - 4 * t.endswith("</w>") for t in self.tokens], np.int64)
         same = "".join(c for c in map(chr, (*range(0x20, 0x7F), *range(0xA1, 0x300), *range(0x2010, 0x2028))) if self.normalizer.normalize_str(c) == _normal(c))
         self.strange = re.compile(f"[^\\t-\\r{re.escape(same)}]")
 
@@ -185,8 +188,24 @@ class Tokenizer:
             return [x for x in _SPACE.split(self.normalizer.normalize_str(text)) if x]
         return text.lower().split()
 
-    def merge(self, chunks: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast(chunks, add_special_tokens=False)]
+    def merge(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk as little-endian bytes.
+
+        Chunks are merged many at a time, with spaces between them, and told apart by the bytes that their tokens cover;
+        where these don't add up, one by one.
+        """
+        out: list[bytes] = []
+        for low in range(0, len(chunks), TOGETHER):
+            some = chunks[low : low + TOGETHER]
+            ids = np.array(self.model.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends, covered = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in some]), np.cumsum(self.sizes[ids])
+            last = np.searchsorted(covered, ends)
+            if len(covered) and last[-1] == len(covered) - 1 and np.array_equal(covered[last], ends):
+                flat, stops = ids.tobytes(), (4 * (last + 1)).tolist()
+                out += [flat[i:j] for i, j in zip([0, *stops], stops, strict=False)]
+            else:
+                out += [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch(some, add_special_tokens=False)]
+        return out
 
 
 def frequent_words(docs: DataFrame, path: str, text: str = "text", words: int = WORDS) -> list[str]:
@@ -224,7 +243,8 @@ def frequent_words(docs: DataFrame, path: str, text: str = "text", words: int =
 def lexicon(docs: DataFrame, path: str, text: str = "text", words: int = WORDS) -> str:
     """Builds the automaton and gives it to all executors; returns the name of its file."""
     found = frequent_words(docs, path, text, words)
-    automaton = Automaton.build(dict(zip((w.encode() for w in found), Tokenizer(path).merge(found), strict=True)))
+    ids = (np.frombuffer(x, "<u4").tolist() for x in Tokenizer(path).merge(found))
+    automaton = Automaton.build(dict(zip((w.encode() for w in found), ids, strict=True)))
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     # The driver's own folder: Spark serves the file from there to every executor, new ones too, until the session ends.
     folder = tempfile.mkdtemp(prefix="lexicon")
@@ -235,10 +255,10 @@ def lexicon(docs: DataFrame, path: str, text: str = "text", words: int = WORDS)
 
 
 class Encoder:
-    """A worker's encoder: lexicon first, then exact merges."""
+    """A worker's encoder: what it remembers first, then the lexicon, then exact merges."""
 
     def __init__(self, tokenizer: Tokenizer, automaton: Automaton):
-        self.tokenizer, self.automaton, self.merged = tokenizer, automaton, {}
+        self.tokenizer, self.automaton, self.seen = tokenizer, automaton, {}
 
     def table(self, chunks: Iterable) -> dict:
         """The ids of each chunk as little-endian bytes."""
@@ -246,32 +266,20 @@ class Encoder:
         out = {c: np.array([c], "<u4").tobytes() for c in chunks if not isinstance(c, str)}
         number = self.automaton.numbers([w.encode("utf-8", "surrogatepass") for w in words])
         start, ids = self.automaton.start, np.asarray(self.automaton.ids, "<u4").tobytes()
-        known = number >= 0
-        low, high = 4 * start[:-1][number[known]].astype(np.int64), 4 * start[1:][number[known]].astype(np.int64)
-        hits = iter(zip(low.tolist(), high.tolist(), strict=True))
-        fresh, merged = [], self.merged
-        for w, k in zip(words, known.tolist(), strict=True):
-            if k:
-                a, b = next(hits)
-                out[w] = ids[a:b]
-            elif w in merged:
-                out[w] = merged[w]
-            else:
-                fresh.append(w)
-        if len(merged) > KEEP:
-            merged.clear()
-        found = self.tokenizer.merge(fresh)
-        flat = np.fromiter(chain.from_iterable(found), "<u4", sum(map(len, found))).tobytes()
-        at = 0
-        for w, x in zip(fresh, found, strict=True):
-            out[w] = merged[w] = flat[at : at + 4 * len(x)]
-            at += 4 * len(x)
+        held = np.flatnonzero(number >= 0)
+        low, high = 4 * start[:-1][number[held]].astype(np.int64), 4 * start[1:][number[held]].astype(np.int64)
+        for k, a, b in zip(held.tolist(), low.tolist(), high.tolist(), strict=True):
+            out[words[k]] = ids[a:b]
+        fresh = [words[k] for k in np.flatnonzero(number < 0).tolist()]
+        out.update(zip(fresh, self.tokenizer.merge(fresh), strict=True))
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self.tokenizer.chunks(t) if t else [] for t in texts]
-        table = self.table(set().union(*split))
-        return [b"".join(map(table.__getitem__, x)) for x in split]
+        if len(self.seen) > KEEP:
+            self.seen.clear()
+        self.seen.update(self.table(set().union(*split).difference(self.seen)))
+        return [b"".join(map(self.seen.__getitem__, x)) for x in split]
 
     def decode(self, ids: bytes) -> str:
         return " ".join(map(self.tokenizer.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
