@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -35,6 +36,11 @@ RARE_LONG = {
 }
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def latin_table() -> tuple[str, str]:
     """Lower-case letters with marks and their ASCII letters: from the canonical decompositions of Unicode, down to a letter
     of the lists above."""
@@ -50,15 +56,17 @@ def latin_table() -> tuple[str, str]:
 def ascii_norm(s: Column) -> Column:
     """Lower-case ASCII letters, digits and single spaces; anything else is a space. Marks are dropped; Latin, Greek and
     Cyrillic letters are transliterated."""
-    s = F.regexp_replace(F.lower(s), "[̀-ͯ]", "")
-    s = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), LONG_FORMS.items(), s)
 
     def rare(t: Column) -> Column:
         spelled = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), RARE_LONG.items(), t)
         return F.when(t.rlike(f"[{''.join(RARE_LONG)}]"), spelled).otherwise(t)
 
-    s = F.get(F.transform(F.array(s), rare), F.lit(0))  # evaluated once; few names hold any of these letters
-    s = F.translate(s, *latin_table())
+    def spelled(t: Column) -> Column:
+        t = F.regexp_replace(t, "[̀-ͯ]", "")
+        t = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), LONG_FORMS.items(), t)
+        return F.translate(once(t, rare), *latin_table())  # few names hold any of the rare letters
+
+    s = once(F.lower(s), lambda t: F.when(t.rlike(r"[^\x00-\x7f]"), spelled(t)).otherwise(t))
     return F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
 
 
@@ -108,17 +116,18 @@ def stem_word(word: Column) -> Column:
 
 def ordinal_key(words: Column) -> Column:
     """``1_maja`` for the first number that a proper word follows; null if there is none."""
-    # A lambda that names the words themselves would compute them anew for each word.
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda n, w: F.struct(n.alias("n"), w.alias("w")))
-    good = F.filter(pairs, lambda p: p["n"].rlike("^[0-9]+$") & ~is_street_type(p["w"]) & ~is_initial(p["w"]) & (F.length(p["w"]) >= 2))
-    first = F.try_element_at(good, F.lit(1))
-    return F.when(first.isNotNull(), F.concat(first["n"], F.lit("_"), first["w"]))
+
+    def first(w: Column) -> Column:
+        pairs = F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda n, w: F.struct(n.alias("n"), w.alias("w")))
+        good = F.filter(pairs, lambda p: p["n"].rlike("^[0-9]+$") & ~is_street_type(p["w"]) & ~is_initial(p["w"]) & (F.length(p["w"]) >= 2))
+        return F.try_element_at(good, F.lit(1))
+
+    return once(once(words, first), lambda p: F.when(p.isNotNull(), F.concat(p["n"], F.lit("_"), p["w"])))
 
 
 def suffix_key(name: Column) -> Column:
     """Group key by suffix stripping: the ordinal key, else the stem of the last significant word, else empty."""
-    words = tokens(ascii_norm(name))
-    return F.coalesce(ordinal_key(words), strip_suffix(F.try_element_at(significant(words), F.lit(-1))), F.lit(""))
+    return once(tokens(ascii_norm(name)), lambda words: F.coalesce(ordinal_key(words), strip_suffix(F.try_element_at(significant(words), F.lit(-1))), F.lit("")))
 
 
 def words_of(label: Column) -> Column:
@@ -141,23 +150,26 @@ def match_confidence(street: Column, labels: Column, is_human: Column, settings:
     contained, or first four letters of the stem starting the street's.
     """
     exact, stem, prefix = F.lit(settings.confidence_exact), F.lit(settings.confidence_stem), F.lit(settings.confidence_prefix)
-    street_norm, street_stem = ascii_norm(street), stem_word(street)
-
-    def by_word(norm: Column, word_stem: Column, with_prefix: bool) -> Column:
-        found = F.when(F.contains(street_norm, norm), exact).when((F.length(word_stem) >= 3) & F.contains(street_stem, word_stem), stem)
-        if with_prefix:
-            found = found.when((F.length(word_stem) >= 4) & F.startswith(street_stem, F.substring(word_stem, 1, 4)), prefix)
-        return found
-
-    def tests(label: Column) -> Column:
-        norm = ascii_norm(label)
-        whole = F.when(F.contains(street_norm, norm) | F.contains(norm, street_norm), exact)
-        core = place_core(label)
-        place = F.when(~is_human & (core != ""), by_word(ascii_norm(core), stem_word(core), False))
-        return F.concat(F.array(whole, place), F.transform(name_parts(label), lambda w: by_word(ascii_norm(w), stem_word(w), True)))
-
-    found = F.filter(F.flatten(F.transform(labels, tests)), lambda c: c.isNotNull())
-    return F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(0.0))
+
+    def confidence(street: Column) -> Column:
+        def by_word(word: Column, with_prefix: bool) -> Column:
+            def test(w: Column) -> Column:
+                found = F.when(F.contains(street["norm"], w["norm"]), exact).when((F.length(w["stem"]) >= 3) & F.contains(street["stem"], w["stem"]), stem)
+                if with_prefix:
+                    found = found.when((F.length(w["stem"]) >= 4) & F.startswith(street["stem"], F.substring(w["stem"], 1, 4)), prefix)
+                return found
+
+            return once(F.struct(ascii_norm(word).alias("norm"), stem_word(word).alias("stem")), test)
+
+        def tests(label: Column) -> Column:
+            whole = once(ascii_norm(label), lambda norm: F.when(F.contains(street["norm"], norm) | F.contains(norm, street["norm"]), exact))
+            place = once(place_core(label), lambda core: F.when(~is_human & (core != ""), by_word(core, False)))
+            return F.concat(F.array(whole, place), F.transform(name_parts(label), lambda w: by_word(w, True)))
+
+        found = F.filter(F.flatten(F.transform(labels, tests)), lambda c: c.isNotNull())
+        return F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(0.0))
+
+    return once(F.struct(ascii_norm(street).alias("norm"), stem_word(street).alias("stem")), confidence)
 
 
 def split_names(names: Column) -> Column:
