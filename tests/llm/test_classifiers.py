@@ -207,6 +207,18 @@ def test_every_code_point_equals_the_library():
         assert [t for t, g, w in zip(texts, got, lib.encode_batch(texts, add_special_tokens=False), strict=True) if np.frombuffer(g, "<u4").tolist() != w.ids] == []
 
 
+def test_chunks_cut_in_pieces_equal_the_library(words, monkeypatch):
+    """Letters, digits, marks and apostrophes mixed, with a memory that forgets after every few texts."""
+    monkeypatch.setattr(bpe, "KEEP", 50)
+    path, dice = tokenizer("word_bpe_49k.json"), random.Random(4)
+    lib, encoder = reference(path), bpe.Encoder(bpe.Tokenizer(path), bpe.Automaton.build({}))
+    parts = [*(w for some in words.values() for w in some[:10]), "ß", "été", "ñandú", "straße", "Ünder", "ﬁn", "日本", "'s", "'LL", "'", "''t", "!!", "###", "-", "3", "42", "²", "½", "ª", "¡", "§", "</w>", "<|", "|>", "_", "a"]
+    for _ in range(60):
+        texts = [" ".join("".join(dice.choices(parts, k=dice.randint(1, 4))) for _ in range(12)) for _ in range(5)]
+        for text, got, want in zip(texts, encoder.encode(texts), lib.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == want.ids, text
+
+
 def test_other_tokenizer_files_are_refused(spark, tmp_path):
     with pytest.raises(ValueError, match="unknown"):
         bpe.Tokenizer(tokenizer("byte_bpe_50k.json"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from vialect.llm.common import arrow_batches, written
 
-#: Words of the lexicon, most bytes of one, and chunks that a worker counts or remembers before it starts anew.
+#: Words of the lexicon, most bytes of one, and chunks that a worker counts or remembers before it forgets older ones.
 WORDS, LONGEST, KEEP = 65_536, 40, 300_000
 #: Chunks that are merged at a time.
 TOGETHER = 5_000
@@ -141,6 +141,12 @@ class Automaton:
         return out
 
 
+def _byte_letters() -> dict[int, int]:
+    """The character that stands for each byte: itself where it prints, else one from U+0100 on, in order."""
+    hidden = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD)]
+    return {b: 256 + n for n, b in enumerate(hidden)}
+
+
 def _normal(c: str) -> str:
     return unicodedata.normalize("NFC", c).lower()
 
@@ -172,6 +178,13 @@ class Tokenizer:
         self.sizes = np.array([len(t) - 4 * t.endswith("</w>") for t in self.tokens], np.int64)
         same = "".join(c for c in map(chr, (*range(0x20, 0x7F), *range(0xA1, 0x300), *range(0x2010, 0x2028))) if self.normalizer.normalize_str(c) == _normal(c))
         self.strange = re.compile(f"[^\\t-\\r{re.escape(same)}]")
+        # Chunks of these letters, digits and marks are cut here as PATTERN says; only an apostrophe may begin something else.
+        letters, marks = "".join(c for c in same if c.isalpha()), "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+        self.plain = re.compile(f"[{re.escape(letters + marks)}0-9]+")
+        self.piece = re.compile(f"[{re.escape(letters)}]+|[0-9]|[{re.escape(marks)}]+")
+        self.bytes, self.bpe = _byte_letters(), self.model.model
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.tokens))]
+        self.short: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list:
         """The normalized chunks of a text; a special token is its id."""
@@ -188,10 +201,30 @@ class Tokenizer:
             return [x for x in _SPACE.split(self.normalizer.normalize_str(text)) if x]
         return text.lower().split()
 
+    def _merged_plain(self, chunk: str) -> bytes:
+        """The ids of a plain chunk, piece by piece; those of short pieces, of which there are few, are kept."""
+        out = []
+        for piece in self.piece.findall(chunk):
+            ids = self.short.get(piece)
+            if ids is None:
+                body = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes)
+                ids = b"".join([self.packed[t.id] for t in self.bpe.tokenize(body)])
+                if len(piece) <= 2:
+                    self.short[piece] = ids
+            out.append(ids)
+        return b"".join(out)
+
     def merge(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each chunk as little-endian bytes.
+        """The ids of each chunk as little-endian bytes: of plain ones piece by piece, of others by the whole library."""
+        plain, merged = self.plain.fullmatch, self._merged_plain
+        out = [merged(c) if plain(c) else None for c in chunks]
+        odd = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(odd, self._merged_together([chunks[k] for k in odd]), strict=True):
+            out[k] = ids
+        return out
 
-        Chunks are merged many at a time, with spaces between them, and told apart by the bytes that their tokens cover;
+    def _merged_together(self, chunks: list[str]) -> list[bytes]:
+        """Chunks are merged many at a time, with spaces between them, and told apart by the bytes that their tokens cover;
         where these don't add up, one by one.
         """
         out: list[bytes] = []
@@ -258,7 +291,7 @@ class Encoder:
     """A worker's encoder: what it remembers first, then the lexicon, then exact merges."""
 
     def __init__(self, tokenizer: Tokenizer, automaton: Automaton):
-        self.tokenizer, self.automaton, self.seen = tokenizer, automaton, {}
+        self.tokenizer, self.automaton, self.seen, self.older = tokenizer, automaton, {}, {}
 
     def table(self, chunks: Iterable) -> dict:
         """The ids of each chunk as little-endian bytes."""
@@ -276,9 +309,12 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self.tokenizer.chunks(t) if t else [] for t in texts]
-        if len(self.seen) > KEEP:
-            self.seen.clear()
-        self.seen.update(self.table(set().union(*split).difference(self.seen)))
+        if len(self.seen) > KEEP:  # what isn't met again before the next time is forgotten then
+            self.seen, self.older = {}, self.seen
+        fresh = set().union(*split).difference(self.seen)
+        known = fresh.intersection(self.older)
+        self.seen.update(zip(known, map(self.older.__getitem__, known), strict=True))
+        self.seen.update(self.table(fresh.difference(known)))
         return [b"".join(map(self.seen.__getitem__, x)) for x in split]
 
     def decode(self, ids: bytes) -> str:
