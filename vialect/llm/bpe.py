@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from vialect.llm.common import arrow_batches, written
 
 #: Words of the lexicon, most bytes of one, and chunks that a worker counts or remembers before it forgets older ones.
-WORDS, LONGEST, KEEP = 65_536, 40, 300_000
+WORDS, LONGEST, KEEP = 65_536, 40, 150_000
 #: Chunks that are merged at a time.
 TOGETHER = 5_000
 #: White space as the tokenizer's patterns see it.
@@ -257,7 +257,7 @@ def frequent_words(docs: DataFrame, path: str, text: str = "text", words: int =
             for body in batch.column(0).to_pylist():
                 if body:
                     seen.update(split(body))
-            if len(seen) > 2 * KEEP:
+            if len(seen) > 4 * KEEP:
                 yield flush()
         yield flush()
 
