@@ -6,6 +6,8 @@ coordinates from embeddings. Each runs over its whole tables and whole texts.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -272,13 +274,37 @@ def split_join_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("n_regionkey", F.posexplode(text.split_names(F.replace("names", F.lit("; "), F.lit(" ;  ")))).alias("k", "name"))
 
 
+def _csv(df: DataFrame) -> str:
+    """The path of ``df`` written as CSV to the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/csv/{uuid.uuid4().hex}"
+    files.write_csv(df, path)
+    return path
+
+
 def lengths_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rollup written as CSV and read by position."""
-    import uuid
+    return files.read_lengths(spark, _csv(_street_rows(spark, sf_dir).select("name", "total_m", "segments_count", "street_count")))
+
+
+def untagged_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_csv(spark, _csv(untagged_distinct(spark, sf_dir)), "name string")
+
+
+def flat_truth_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = entity_left_join(spark, sf_dir).select("street_name", "wikidata_id", "entity_label", "is_human", "confidence")
+    return files.read_csv(spark, _csv(found), "street_name string, wikidata_id string, entity_label string, is_human boolean, confidence double")
+
+
+def grouped_truth_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ground_truth_grouped(spark, sf_dir).select("wikidata_id", "entity_label", "is_human", "street_names")
+    return files.read_csv(spark, _csv(found), "wikidata_id string, entity_label string, is_human boolean, street_names string")
+
 
-    path = f"{shared_dir(spark)}/csv/{uuid.uuid4().hex}"
-    files.write_csv(_street_rows(spark, sf_dir).select("name", "total_m", "segments_count", "street_count"), path)
-    return files.read_lengths(spark, path)
+def methods_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of part names by each method that needs no model, taken from the registry by its id."""
+    names, registry = _part_names(spark, sf_dir), normalizers.default_registry()
+    found = [registry.get(m)(names).select(F.lit(m).alias("method"), "name", "group_id") for m in ("suffix_stripping", "levenshtein", "ngram")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def dbscan_street_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,7 +344,7 @@ def bbox_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def geodesic_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).select("vec_id", geo.geodesic_length("way").alias("length_m"))
+    return _lines(spark, sf_dir).select("vec_id", F.round(geo.geodesic_length("way"), 3).alias("length_m"))
 
 
 def street_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -409,6 +435,7 @@ QUERIES = {
         evaluation_summary, problem_entities, collisions, evaluation_report, match_confidence, entity_left_join, confidence_counts, ground_truth_grouped, missing_entities_anti, tagged_pairs, parse_entities,
         split_join_names, lengths_csv_round_trip, dbscan_street_count, segment_clusters, tile_envelope, mercator_to_lonlat, haversine_length, bbox_filter, geodesic_length, street_lengths, mvt_tiles,
         llm_stub_batches, llm_batches, clean_replies, custom_normalizer, uncached_names, cached_groups, cache_dates, fenced_replies, cache_names, points_of_the_plane, tile_features, street_tile,
+        untagged_csv_round_trip, flat_truth_csv_round_trip, grouped_truth_csv_round_trip, methods_by_id,
     )
 }
 
@@ -565,4 +592,21 @@ UNION ALL SELECT 'suffix_stripping', 'problem_entities', (row_number() OVER (ORD
 ORACLES["mapping_json"] = f"""WITH {_STREETS}, keyed AS (SELECT * FROM {_keyed('streets', '*')} WHERE group_id <> '')
 SELECT 'suffix_stripping' AS method, name AS key, group_id, NULL::VARCHAR AS representative, NULL::VARCHAR AS variants, NULL::DOUBLE AS total_length FROM keyed
 UNION ALL SELECT 'suffix_stripping', NULL, group_id, arg_max(name, (total_m, -pos)) FILTER (total_m > 0), string_agg(name, '; ' ORDER BY pos), round_even(sum(total_m), 1) FROM keyed GROUP BY group_id"""
+for _name, _same in (("untagged_csv_round_trip", "untagged_distinct"), ("flat_truth_csv_round_trip", "entity_left_join"), ("grouped_truth_csv_round_trip", "ground_truth_grouped")):
+    ORACLES[_name] = ORACLES[_same]
+ORACLES["methods_by_id"] = f"""WITH names AS (SELECT DISTINCT p_name AS name FROM part)
+SELECT 'suffix_stripping' AS method, * FROM {_keyed('names', 'name')}
+UNION ALL SELECT 'levenshtein', name, coalesce(group_id, '') FROM names LEFT JOIN ({ORACLES['leader_indel']}) USING (name)
+UNION ALL SELECT 'ngram', name, coalesce(group_id, '') FROM names LEFT JOIN ({ORACLES['leader_jaccard']}) USING (name)"""
+# Twelve steps of the inverse iteration for each leg; legs are short, so four would do.
+_F, _B = repr(geo.FLATTENING), repr(geo.RADIUS * (1 - geo.FLATTENING))
+_TERMS = f"""sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS cs, atan2(ss, cs) AS sigma,
+  CASE WHEN ss > 0 THEN cos(u1) * cos(u2) * sin(lam) / ss ELSE 0 END AS sa, 1 - sa * sa AS c2, CASE WHEN c2 > 1e-15 THEN cs - 2 * sin(u1) * sin(u2) / c2 ELSE 0 END AS cm, {_F} / 16 * c2 * (4 + {_F} * (4 - 3 * c2)) AS c"""
+ORACLES["geodesic_length"] = f"""WITH RECURSIVE {_POINTS}, deg AS (SELECT vec_id, list_transform(xs, lambda x: degrees(x / {_R}::DOUBLE)) AS lo, list_transform(ys, lambda y: degrees(2 * atan(exp(y / {_R}::DOUBLE)) - pi() / 2)) AS la FROM points),
+ legs AS (SELECT vec_id, i, radians(lo[i + 1] - lo[i]) AS d, atan((1 - {_F}) * tan(radians(la[i]))) AS u1, atan((1 - {_F}) * tan(radians(la[i + 1]))) AS u2 FROM deg, (SELECT unnest([1, 2, 3]) AS i)),
+ it AS (SELECT vec_id, i, d, u1, u2, 0 AS n, d AS lam FROM legs
+  UNION ALL SELECT vec_id, i, d, u1, u2, n + 1, d + (1 - c) * {_F} * sa * (sigma + c * ss * (cm + c * cs * (2 * cm * cm - 1))) FROM (SELECT *, {_TERMS} FROM it WHERE n < 12)),
+ ended AS (SELECT *, {_TERMS}, c2 * ({_R}::DOUBLE * {_R} - {_B}::DOUBLE * {_B}) / ({_B}::DOUBLE * {_B}) AS k, 1 + k / 16384 * (4096 + k * (k * (320 - 175 * k) - 768)) AS a, k / 1024 * (256 + k * (k * (74 - 47 * k) - 128)) AS b FROM it WHERE n = 12),
+ legs_m AS (SELECT vec_id, {_B} * a * (sigma - b * ss * (cm + b / 4 * (cs * (2 * cm * cm - 1) - b / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))) AS m FROM ended)
+SELECT vec_id, round(sum(m), 3) AS length_m FROM legs_m GROUP BY vec_id"""
 ORACLES["ascii_norm_unicode_documents"] = ORACLES["ascii_norm_documents"]
