@@ -347,6 +347,12 @@ def geodesic_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("vec_id", F.round(geo.geodesic_length("way"), 3).alias("length_m"))
 
 
+def metric_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point of every line in the metric grid, in millimetres."""
+    points = _lines(spark, sf_dir).select("vec_id", F.posexplode(geo.to_metric(F.col("way"))).alias("k", "p"))
+    return points.select("vec_id", "k", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"))
+
+
 def street_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.street_lengths(_lines(spark, sf_dir))
 
@@ -435,7 +441,7 @@ QUERIES = {
         evaluation_summary, problem_entities, collisions, evaluation_report, match_confidence, entity_left_join, confidence_counts, ground_truth_grouped, missing_entities_anti, tagged_pairs, parse_entities,
         split_join_names, lengths_csv_round_trip, dbscan_street_count, segment_clusters, tile_envelope, mercator_to_lonlat, haversine_length, bbox_filter, geodesic_length, street_lengths, mvt_tiles,
         llm_stub_batches, llm_batches, clean_replies, custom_normalizer, uncached_names, cached_groups, cache_dates, fenced_replies, cache_names, points_of_the_plane, tile_features, street_tile,
-        untagged_csv_round_trip, flat_truth_csv_round_trip, grouped_truth_csv_round_trip, methods_by_id,
+        untagged_csv_round_trip, flat_truth_csv_round_trip, grouped_truth_csv_round_trip, methods_by_id, metric_grid,
     )
 }
 
@@ -609,4 +615,12 @@ ORACLES["geodesic_length"] = f"""WITH RECURSIVE {_POINTS}, deg AS (SELECT vec_id
  ended AS (SELECT *, {_TERMS}, c2 * ({_R}::DOUBLE * {_R} - {_B}::DOUBLE * {_B}) / ({_B}::DOUBLE * {_B}) AS k, 1 + k / 16384 * (4096 + k * (k * (320 - 175 * k) - 768)) AS a, k / 1024 * (256 + k * (k * (74 - 47 * k) - 128)) AS b FROM it WHERE n = 12),
  legs_m AS (SELECT vec_id, {_B} * a * (sigma - b * ss * (cm + b / 4 * (cs * (2 * cm * cm - 1) - b / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))) AS m FROM ended)
 SELECT vec_id, round(sum(m), 3) AS length_m FROM legs_m GROUP BY vec_id"""
+# The oblique cone: e, a, b, gamma, t0, n and r0 are constants of the grid, u and v the place on the sphere, t and d that on the cone.
+ORACLES["metric_grid"] = f"""WITH {_POINTS}, p AS (SELECT vec_id, (i - 1)::INTEGER AS k, xs[i] / {_R}::DOUBLE AS lam, 2 * atan(exp(ys[i] / {_R}::DOUBLE)) - pi() / 2 AS phi FROM points, (SELECT unnest([1, 2, 3, 4]) AS i)),
+ cone AS (SELECT sqrt({geo.BESSEL_E2}::DOUBLE) AS e, radians({geo.CONE_LATITUDE}::DOUBLE) AS pc, radians({geo.CONE_PARALLEL}::DOUBLE) AS ps, radians({geo.CONE_AXIS}::DOUBLE) AS ax,
+  {geo.BESSEL_AXIS}::DOUBLE * sqrt(1 - e * e) / (1 - e * e * pow(sin(pc), 2)) AS a, sqrt(1 + e * e * pow(cos(pc), 4) / (1 - e * e)) AS b, asin(sin(pc) / b) AS gamma,
+  tan(pi() / 4 + gamma / 2) * pow((1 + e * sin(pc)) / (1 - e * sin(pc)), e * b / 2) / pow(tan(pi() / 4 + pc / 2), b) AS t0, sin(ps) AS n, {geo.CONE_SCALE}::DOUBLE * a / tan(ps) AS r0),
+ sphere AS (SELECT *, b * (radians({geo.CONE_MERIDIAN!r}::DOUBLE) - lam) AS v, 2 * (atan(t0 * pow(tan(phi / 2 + pi() / 4), b) / pow((1 + e * sin(phi)) / (1 - e * sin(phi)), e * b / 2)) - pi() / 4) AS u FROM p, cone),
+ oblique AS (SELECT *, asin(cos(ax) * sin(u) + sin(ax) * cos(u) * cos(v)) AS t, asin(cos(u) * sin(v) / cos(t)) AS d, r0 * pow(tan(ps / 2 + pi() / 4), n) / pow(tan(t / 2 + pi() / 4), n) AS r FROM sphere)
+SELECT vec_id, k, round(-r * sin(n * d), 3) AS x, round(-r * cos(n * d), 3) AS y FROM oblique"""
 ORACLES["ascii_norm_unicode_documents"] = ORACLES["ascii_norm_documents"]
