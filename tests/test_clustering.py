@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,3 +132,53 @@ def test_segments(spark):
     got = {r.line_id: r.cluster_id for r in spatial.segment_components(frame, 10.0).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: None, 6: 6}
     assert frame.filter(F.col("way").isNull()).count() == 1
+
+
+def to_segment(p, a, b):
+    dx, dy = b[0] - a[0], b[1] - a[1]
+    size = dx * dx + dy * dy
+    t = max(0.0, min(1.0, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / size)) if size else 0.0
+    return math.hypot(p[0] - a[0] - t * dx, p[1] - a[1] - t * dy)
+
+
+def apart(a, b, c, d):
+    def side(p, q, r):
+        return (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+
+    crosses = side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0
+    return 0.0 if crosses else min(to_segment(a, c, d), to_segment(b, c, d), to_segment(c, a, b), to_segment(d, a, b))
+
+
+@pytest.mark.parametrize(("seed", "eps", "spread"), [(1, 1.0, 12), (2, 3.0, 40), (3, 0.4, 3), (4, 2.0, 12)])
+def test_segments_equal_all_pairs(spark, seed, eps, spread):
+    """Lines of one to four points in all directions and quadrants, some through many cells, against a search over all pairs."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(160):
+        way = [(rng.uniform(-spread, spread), rng.uniform(-spread, spread))]
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            step = rng.choice([0.3, 1, 3]) * eps
+            way.append((way[-1][0] + rng.choice([0, 1, rng.gauss(0, 1)]) * step, way[-1][1] + rng.choice([0, -1, rng.gauss(0, 1)]) * step))
+        rows.append((i * 7 % 160, rng.choice("abc"), way))
+    rows += [(500 + i, "a", rows[3][2]) for i in range(5)]
+    legs = {i: list(zip(w, w[1:], strict=False)) or [(w[0], w[0])] for i, _, w in rows}
+    near = [(i, j) for i, k, _ in rows for j, m, _ in rows if i < j and k == m and any(apart(*x, *y) <= eps for x in legs[i] for y in legs[j])]
+    want = union_find(505, near)
+    odd = [(900, "a", [(math.nan, 0.0), (1.0, 1.0)]), (901, "a", None), (902, "a", []), (903, None, rows[0][2]), (904, "a", [(math.inf, 0.0)])]
+    frame = spark.createDataFrame([(i, k, w and [{"x": x, "y": y} for x, y in w]) for i, k, w in rows + odd], "line_id long, name string, way array<struct<x:double,y:double>>")
+    got = {r.line_id: r.cluster_id for r in spatial.segment_components(frame, eps).collect()}
+    assert got == {i: want[i] for i in legs} | {900: 900, 901: None, 902: None, 903: None, 904: 904}
+
+
+def test_many_segments_in_one_place(spark):
+    """40,000 different lines within a few cells, and as many in a place just out of reach: far too many to measure in pairs."""
+    k = F.col("id")
+    x, y = (F.pmod(F.xxhash64(k, F.lit(c)), F.lit(10_000)) / 2500 + F.when(k % 2 == 0, 0.0).otherwise(d) for c, d in (("x", 14.5), ("y", 0.0)))
+    rows = spark.range(80_000, numPartitions=4).select(k.alias("line_id"), F.lit("n").alias("name"), F.array(F.struct(x.alias("x"), y.alias("y")), F.struct((x + 0.4).alias("x"), (y + 0.1).alias("y"))).alias("way"))
+    stop = threading.Timer(120, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        found = {tuple(r) for r in spatial.segment_components(rows, 10.0).groupBy("cluster_id").count().collect()}
+    finally:
+        stop.cancel()
+    assert found == {(0, 40_000), (1, 40_000)}

@@ -7,14 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vialect.operators.graph import components
-
-
-def _labelled(rows: DataFrame, id_: str, edges: DataFrame, present: Column) -> DataFrame:
-    """(id, cluster_id): the smallest id of its cluster, null where there is no geometry."""
-    roots = components(edges)
-    out = rows.select(id_, present.alias("_here")).join(roots.withColumnRenamed("node", id_), id_, "left")
-    return out.select(id_, F.when(F.col("_here"), F.coalesce("root", id_)).alias("cluster_id"))
+from vialect.operators.graph import components, stored
 
 
 def point_components(points: DataFrame, eps: float, id_: str = "id", key: str = "name", x: str = "x", y: str = "y") -> DataFrame:
@@ -58,31 +51,98 @@ def segment_distance(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.when(crosses, 0.0).otherwise(F.least(_to_segment(a, c, d), _to_segment(b, c, d), _to_segment(c, a, b), _to_segment(d, a, b)))
 
 
+def _gap(a: str, b: str) -> Column:
+    """Distance of two boxes."""
+    def along(c: str) -> Column:
+        return F.greatest(F.lit(0.0), F.col(f"{b}.{c}0") - F.col(f"{a}.{c}1"), F.col(f"{a}.{c}0") - F.col(f"{b}.{c}1"))
+
+    return F.hypot(along("x"), along("y"))
+
+
+def _crossed(leg: Column, side: float) -> Column:
+    """The grid cells that a leg runs through, its start's among them, each with bounds of the part of the leg in it."""
+    p, q = leg["p"], leg["q"]
+    left, right, low, high = F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"]), F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"])
+
+    def column(cx: Column) -> Column:
+        x0, x1 = F.least(F.greatest(left, cx * side), right), F.greatest(F.least(right, (cx + 1) * side), left)
+
+        def height(x: Column) -> Column:
+            return F.least(F.greatest(p["y"] + (x - p["x"]) / F.nullif(q["x"] - p["x"], F.lit(0.0)) * (q["y"] - p["y"]), low), high)
+
+        def upright(c: Column) -> Column:
+            return F.when(q["x"] == p["x"], c)
+
+        start = F.when(cx == F.floor(p["x"] / side), p["y"])
+        y0 = F.least(F.when(q["x"] != p["x"], height(x0)), F.when(q["x"] != p["x"], height(x1)), upright(low), start)
+        y1 = F.greatest(F.when(q["x"] != p["x"], height(x0)), F.when(q["x"] != p["x"], height(x1)), upright(high), start)
+        rows = F.sequence(F.floor(y0 / side), F.floor(y1 / side))
+        return F.transform(rows, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy"), F.struct(x0.alias("x0"), x1.alias("x1"), F.greatest(y0, F.least(cy * side, y1)).alias("y0"), F.least(y1, F.greatest((cy + 1) * side, y0)).alias("y1")).alias("box")))
+
+    cx, cy = F.floor(p["x"] / side), F.floor(p["y"] / side)
+    alone = (cx == F.floor(q["x"] / side)) & (cy == F.floor(q["y"] / side))
+    whole = F.struct(cx.alias("cx"), cy.alias("cy"), F.struct(left.alias("x0"), right.alias("x1"), low.alias("y0"), high.alias("y1")).alias("box"))
+    return F.when(alone, F.array(whole)).otherwise(F.flatten(F.transform(F.sequence(F.floor(left / side), F.floor(right / side)), column)))
+
+
 def segment_components(lines: DataFrame, eps: float, id_: str = "line_id", key: str = "name", way: str = "way") -> DataFrame:
     """(id, cluster_id) of lines within ``eps`` of each other inside each key; a line of one point counts as that point.
 
-    Legs are cut into pieces of at most ``eps``, and pieces are filed in the few grid cells of side ``eps`` that they come
-    near, so a leg takes as many cells as it is long; pieces that share a cell are measured.
+    Cells have a diagonal just under ``eps``, so all lines through a cell are one cluster, and so are all cells of a line:
+    components are sought among the cells. Only cells that are near each other and still apart are measured: first the
+    nearest leg to the other cell's bounds, then, of cells that this left apart, all legs near the other's bounds. A leg
+    takes as many cells as it is long. Legs without a finite place reach nothing.
     """
-    here = F.col(way).isNotNull() & (F.size(way) > 0) & F.col(key).isNotNull()
-    last = F.greatest(F.size(way) - 2, F.lit(0))
-    legs = lines.filter(here).select(F.col(id_).alias("id"), F.col(key).alias("k"), F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.get(way, i).alias("p"), F.coalesce(F.get(way, i + 1), F.get(way, i)).alias("q")))).alias("leg"))
+    side, reach = eps / math.sqrt(2) * (1 - 1e-6), eps * (1 + 1e-6)
 
-    p, q = F.col("leg.p"), F.col("leg.q")
-    n = F.greatest(F.ceil(F.hypot(q["x"] - p["x"], q["y"] - p["y"]) / eps), F.lit(1))
+    def finite(p: Column) -> Column:
+        return (F.abs(p["x"]) < math.inf) & (F.abs(p["y"]) < math.inf)
 
-    def on_leg(i: Column) -> Column:
-        t = i / n
-        return F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
+    def cell(p: Column) -> Column:
+        return F.struct(F.floor(p["x"] / side).alias("cx"), F.floor(p["y"] / side).alias("cy"))
 
-    legs = legs.withColumn("leg", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.struct(on_leg(i).alias("p"), on_leg(i + 1).alias("q")))))
-
-    def cell(c: str) -> Column:
-        low, high = F.least(p[c], q[c]), F.greatest(p[c], q[c])
-        return F.sequence(F.floor((low - eps / 2) / eps), F.floor((high + eps / 2) / eps))
-
-    filed = legs.withColumn("cx", F.explode(cell("x"))).withColumn("cy", F.explode(cell("y")))
-    a, b = filed.alias("a"), filed.alias("b")
-    same = (F.col("a.k") == F.col("b.k")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.id") < F.col("b.id"))
-    near = a.join(b, same).filter(segment_distance(F.col("a.leg.p"), F.col("a.leg.q"), F.col("b.leg.p"), F.col("b.leg.q")) <= eps)
-    return _labelled(lines, id_, near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), here)
+    here = F.col(way).isNotNull() & (F.size(way) > 0) & F.col(key).isNotNull()
+    last = F.greatest(F.size(way) - 2, F.lit(0))
+    legs = F.filter(F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.get(way, i).alias("p"), F.coalesce(F.get(way, i + 1), F.get(way, i)).alias("q"))), lambda g: finite(g["p"]) & finite(g["q"]))
+    told = lines.filter(here).select(F.col(id_).alias("id"), F.col(key).alias("k"), legs.alias("legs"))
+    each = told.select("id", "k", F.explode(F.transform("legs", lambda g, i: F.struct(g["p"].alias("p"), g["q"].alias("q"), F.coalesce(F.get("legs", i - 1)["p"], g["p"]).alias("before")))).alias("leg"))
+    filed = each.select("id", "k", "leg", F.explode(_crossed(F.col("leg"), side)).alias("c")).select("id", "k", "c.cx", "c.cy", "c.box.*", *[F.col(f"leg.{a}.{c}").alias(a + c) for a in "pq" for c in "xy"])
+    bounds = [F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")]
+    filed = stored(filed.groupBy("k", "cx", "cy", "px", "py", "qx", "qy").agg(F.min("id").alias("id"), *bounds))  # legs of equal place are taken once
+    box, leg = F.struct("x0", "x1", "y0", "y1").alias("box"), F.struct(F.struct(F.col("px").alias("x"), F.col("py").alias("y")).alias("p"), F.struct(F.col("qx").alias("x"), F.col("qy").alias("y")).alias("q")).alias("leg")
+    places = filed.select("k", "cx", "cy", leg, box)
+
+    cells = stored(filed.groupBy("k", "cx", "cy").agg(F.min("id").alias("head"), *bounds).select("k", "cx", "cy", "head", box))
+    start, before = cell(F.col("leg.p")), cell(F.col("leg.before"))
+    steps = places.select("k", start.alias("a"), F.struct("cx", "cy").alias("b")).unionByName(each.select("k", before.alias("a"), start.alias("b"))).filter("a <> b")
+    steps = steps.select("k", "a.cx", "a.cy", F.col("b.cx").alias("bx"), F.col("b.cy").alias("by")).distinct()
+    steps = steps.join(cells.select("k", "cx", "cy", F.col("head").alias("a")), ["k", "cx", "cy"]).join(cells.select("k", F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("head").alias("b")), ["k", "bx", "by"])
+
+    def joined(cells: DataFrame, label: str, edges: DataFrame) -> DataFrame:
+        """The cells with the smallest label of those that ``edges`` join theirs to."""
+        roots = components(edges.select("a", "b")).withColumnRenamed("node", label)
+        return stored(cells.join(roots, label, "left").withColumn("label", F.coalesce("root", label)).select("k", "cx", "cy", "box", "label"))
+
+    cells = joined(cells, "head", steps)
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)])
+
+    def apart(cells: DataFrame) -> DataFrame:
+        """Pairs of cells of different clusters whose bounds are near each other."""
+        sent = cells.withColumn("s", F.explode(around)).select("k", (F.col("cx") + F.col("s.i")).alias("bx"), (F.col("cy") + F.col("s.j")).alias("by"), "cx", "cy", F.col("box").alias("box_a"), F.col("label").alias("a"))
+        there = cells.select("k", F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("box").alias("box_b"), F.col("label").alias("b"))
+        return sent.join(there, ["k", "bx", "by"]).filter((F.col("a") != F.col("b")) & (_gap("box_a", "box_b") <= reach))
+
+    others = places.select("k", F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("leg").alias("other"), F.col("box").alias("box_o"))
+    within = segment_distance(F.col("leg.p"), F.col("leg.q"), F.col("other.p"), F.col("other.q")) <= eps
+
+    pairs = stored(apart(cells))
+    nearest = pairs.join(places, ["k", "cx", "cy"]).groupBy("k", "cx", "cy", "bx", "by").agg(F.min_by("leg", _gap("box", "box_b")).alias("leg"), F.first("a").alias("a"), F.first("b").alias("b"))
+    cells = joined(cells, "label", nearest.join(others, ["k", "bx", "by"]).filter(within).select("a", "b").distinct())
+    pairs = stored(apart(cells))
+    if not pairs.isEmpty():
+        left = pairs.join(places, ["k", "cx", "cy"]).filter(_gap("box", "box_b") <= reach).select("k", "cx", "cy", "bx", "by", "box_a", "a", "b", "leg").distinct()
+        right = pairs.select("k", "cx", "cy", "bx", "by", "box_a").join(others, ["k", "bx", "by"]).filter(_gap("box_o", "box_a") <= reach).select("k", "cx", "cy", "bx", "by", "other").distinct()
+        cells = joined(cells, "label", left.join(right, ["k", "cx", "cy", "bx", "by"]).filter(within).select("a", "b").distinct())
+    homes = told.select("id", "k", cell(F.get("legs", F.lit(0))["p"]).alias("c")).select("id", "k", "c.*")
+    found = homes.join(cells.select("k", "cx", "cy", "label"), ["k", "cx", "cy"], "left").select(F.col("id").alias(id_), F.coalesce("label", "id").alias("cluster_id"))
+    return lines.filter(~F.coalesce(here, F.lit(False))).select(id_, F.lit(None).cast(found.schema["cluster_id"].dataType).alias("cluster_id")).unionByName(found)
