@@ -182,3 +182,17 @@ def test_many_segments_in_one_place(spark):
     finally:
         stop.cancel()
     assert found == {(0, 40_000), (1, 40_000)}
+
+
+def test_copied_segments_on_an_axis(spark):
+    """200,000 lines at 50 places, 4,000 copies each; gaps of 4.5 and 5.5 by turns."""
+    k = F.col("id")
+    x = F.floor((k % 50) / 2) * 11.0 + (k % 2) * 5.0
+    rows = spark.range(200_000, numPartitions=4).select(k.alias("line_id"), F.lit("n").alias("name"), F.array(*[F.struct(c.alias("x"), F.lit(0.0).alias("y")) for c in (x, x + 0.5)]).alias("way"))
+    stop = threading.Timer(120, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        found = {tuple(r) for r in spatial.segment_components(rows, 5.005).groupBy("cluster_id").count().collect()}
+    finally:
+        stop.cancel()
+    assert found == {(2 * i, 8_000) for i in range(25)}
