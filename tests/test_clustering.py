@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vialect.functions.similarity import lcs_length
-from vialect.operators import clustering, graph, leader_blocks, spatial
+from vialect.operators import clustering, graph, leader_blocks, leg_cells, spatial
 
 
 def grams(p):
@@ -230,3 +230,64 @@ def test_leaders_of_long_texts(spark):
         want[i] = -j if s >= 0.5 else i
         leaders += [i] if s < 0.5 else []
     assert found == want
+
+
+@pytest.mark.parametrize(("seed", "few"), [(1, 200_000), (2, 0)])
+def test_segments_over_tiles_equal_all_pairs(spark, monkeypatch, seed, few):
+    """Lines about the corners of tiles, crowded cells, long legs and lines with holes, by ids that are texts, against a search over all pairs."""
+    monkeypatch.setattr(spatial, "FEW", few)
+    rng, eps = random.Random(seed), 1.0
+    corner = leg_cells.MIDDLE * eps / math.sqrt(2)
+    rows = []
+    for i in range(420):
+        if i < 240:
+            x, y, d = rng.choice([-corner, corner]) + rng.gauss(0, 6), rng.choice([-corner, corner]) + rng.gauss(0, 6), 1.0
+        elif i < 400:  # crowded cells on both sides of a border
+            x, y, d = corner + rng.choice([-0.75, 0.75, 2.4]) + rng.uniform(-0.3, 0.3), rng.choice([30, 32.6]) + rng.uniform(-0.3, 0.3), 0.05
+        else:
+            x, y, d = rng.uniform(-300, 300), rng.uniform(-300, 300), 90.0
+        way = [(x, y)]
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            way.append((way[-1][0] + rng.gauss(0, d), way[-1][1] + rng.choice([0, rng.gauss(0, d)])))
+        rows.append((f"{i * 13 % 420:03}", rng.choice("aab"), way))
+    hole = (math.nan, 0.0)
+    rows += [("600", "a", [(500.0, 0.0), (500.5, 0.0), hole, (-500.0, 0.0), (-500.5, 0.0)]), ("601", "a", [(-500.9, 0.0)]), ("602", "a", [(500.0, 0.7), None]), ("603", "b", [(500.0, 0.0)])]
+    legs = {}
+    for i, _, w in rows:
+        each = [(p, q or p) for p, q in zip(w, w[1:] or w, strict=False) if p]
+        legs[i] = [g for g in each if hole not in g]
+    ids = sorted(legs)
+    near = [(ids.index(i), ids.index(j)) for i, k, _ in rows for j, m, _ in rows if i < j and k == m and any(apart(*x, *y) <= eps for x in legs[i] for y in legs[j])]
+    want = {i: ids[r] for i, r in zip(ids, union_find(len(ids), near), strict=True)}
+    frame = spark.createDataFrame([(i, k, [p and {"x": p[0], "y": p[1]} for p in w]) for i, k, w in rows], "line_id string, name string, way array<struct<x:double,y:double>>")
+    got = {r.line_id: (r.name, r.cluster_id) for r in spatial.segment_components(frame, eps, keyed=True).collect()}
+    assert got == {i: (k, want[i]) for i, k, _ in rows}
+    assert len(set(want.values())) > 20 and want["601"] == want["602"] == "600"
+
+
+def test_crowded_cells_left_open(spark, monkeypatch):
+    """Two crowded cells that only legs which aren't outermost bring within reach, and two whose bounds alone are."""
+    asked = []
+    monkeypatch.setattr(spatial, "segment_distance", lambda *legs, f=spatial.segment_distance: asked.append(1) or f(*legs))
+    rows = []
+    for k, x in (("near", 16.4), ("far", 16.6)):
+        rows += [(k, 0.1, 3.0), (k, 6.6, 0.1), (k, 6.0, 7.0), (k, 6.5, 3.5)] + [(k, 1 + i / 100, 3.5) for i in range(20)]
+        rows += [(k, 16.3, 7.0), (k, 20.5, 0.1), (k, x, 3.5)] + [(k, 20 + i / 100, 3.5) for i in range(20)]
+    frame = spark.createDataFrame([(i, k, [{"x": x, "y": y}]) for i, (k, x, y) in enumerate(rows)], "line_id long, name string, way array<struct<x:double,y:double>>")
+    got = {r.line_id: r.cluster_id for r in spatial.segment_components(frame, 10.0).collect()}
+    near = [(i, j) for i, (k, x, y) in enumerate(rows) for j, (m, u, v) in enumerate(rows) if i < j and k == m and math.hypot(x - u, y - v) <= 10]
+    assert got == dict(enumerate(union_find(len(rows), near))) and len(set(got.values())) == 3 and asked
+
+
+def test_segments_in_few_jobs(spark):
+    """A chain of 30,000 lines over many tiles, copies and lines apart: cells are joined by tiles, not in rounds of jobs over all of them."""
+    k = F.col("id")
+    x = F.floor(k / 2) * 5.0 + F.when(k >= 60_000, 100.0).otherwise(0.0)
+    rows = spark.range(80_000, numPartitions=4).select(k.alias("line_id"), F.lit("n").alias("name"), F.array(*[F.struct(c.alias("x"), F.lit(0.0).alias("y")) for c in (x, x + 0.5)]).alias("way"))
+    spark.sparkContext.setJobGroup("few jobs", "test_segments_in_few_jobs")
+    try:
+        found = {tuple(r) for r in spatial.segment_components(rows, 5.005).groupBy("cluster_id").count().collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == {(0, 60_000), (60_000, 20_000)}
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("few jobs")) < 25

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vialect.operators import leg_cells
 from vialect.operators.graph import components, stored
 
+#: Edges that the driver joins by itself.
+FEW = 200_000
+
 
 def point_components(points: DataFrame, eps: float, id_: str = "id", key: str = "name", x: str = "x", y: str = "y") -> DataFrame:
     """(id, cluster_id) of points within ``eps`` of each other, directly or over others, inside each key.
@@ -59,90 +65,82 @@ def _gap(a: str, b: str) -> Column:
     return F.hypot(along("x"), along("y"))
 
 
-def _crossed(leg: Column, side: float) -> Column:
-    """The grid cells that a leg runs through, its start's among them, each with bounds of the part of the leg in it."""
-    p, q = leg["p"], leg["q"]
-    left, right, low, high = F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"]), F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"])
-
-    def column(cx: Column) -> Column:
-        x0, x1 = F.least(F.greatest(left, cx * side), right), F.greatest(F.least(right, (cx + 1) * side), left)
-
-        def height(x: Column) -> Column:
-            return F.least(F.greatest(p["y"] + (x - p["x"]) / F.nullif(q["x"] - p["x"], F.lit(0.0)) * (q["y"] - p["y"]), low), high)
-
-        def upright(c: Column) -> Column:
-            return F.when(q["x"] == p["x"], c)
-
-        start = F.when(cx == F.floor(p["x"] / side), p["y"])
-        y0 = F.least(F.when(q["x"] != p["x"], height(x0)), F.when(q["x"] != p["x"], height(x1)), upright(low), start)
-        y1 = F.greatest(F.when(q["x"] != p["x"], height(x0)), F.when(q["x"] != p["x"], height(x1)), upright(high), start)
-        rows = F.sequence(F.floor(y0 / side), F.floor(y1 / side))
-        return F.transform(rows, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy"), F.struct(x0.alias("x0"), x1.alias("x1"), F.greatest(y0, F.least(cy * side, y1)).alias("y0"), F.least(y1, F.greatest((cy + 1) * side, y0)).alias("y1")).alias("box")))
-
-    cx, cy = F.floor(p["x"] / side), F.floor(p["y"] / side)
-    alone = (cx == F.floor(q["x"] / side)) & (cy == F.floor(q["y"] / side))
-    whole = F.struct(cx.alias("cx"), cy.alias("cy"), F.struct(left.alias("x0"), right.alias("x1"), low.alias("y0"), high.alias("y1")).alias("box"))
-    return F.when(alone, F.array(whole)).otherwise(F.flatten(F.transform(F.sequence(F.floor(left / side), F.floor(right / side)), column)))
+def _roots(edges: DataFrame) -> DataFrame:
+    """``components`` as (node, root); few edges, which are between tiles only, are joined on the driver in one step."""
+    found = edges.limit(FEW + 1).toArrow()
+    if found.num_rows > FEW:
+        return components(edges)
+    a, b = (found[c].combine_chunks() for c in "ab")
+    nodes = pa.concat_arrays([a, b]).unique()
+    nodes = nodes.take(pc.sort_indices(nodes))
+    at = [pc.index_in(v, nodes).to_numpy(zero_copy_only=False) for v in (a, b)]
+    root = nodes.take(pa.array(leg_cells.roots(len(nodes), *at)))
+    return F.broadcast(edges.sparkSession.createDataFrame(pa.table({"node": nodes, "root": root})))
 
 
-def segment_components(lines: DataFrame, eps: float, id_: str = "line_id", key: str = "name", way: str = "way") -> DataFrame:
+def segment_components(lines: DataFrame, eps: float, id_: str = "line_id", key: str = "name", way: str = "way", keyed: bool = False) -> DataFrame:
     """(id, cluster_id) of lines within ``eps`` of each other inside each key; a line of one point counts as that point.
 
-    Cells have a diagonal just under ``eps``, so all lines through a cell are one cluster, and so are all cells of a line:
-    components are sought among the cells. Only cells that are near each other and still apart are measured: first the
-    nearest leg to the other cell's bounds, then, of cells that this left apart, all legs near the other's bounds. A leg
-    takes as many cells as it is long. Legs without a finite place reach nothing.
+    With ``keyed`` the key comes along. Cells have a diagonal just under ``eps``, so all lines through a cell are one
+    cluster, and so are all cells of a line. Tiles of cells, with the first cells of the next tiles, are joined one by one by
+    the legs kept of each cell (``leg_cells``); components are sought among the labels on their borders only. Of cells near
+    each other that this left apart, and of which not all legs were kept, first the nearest leg to the other cell's bounds is
+    measured, then all legs near these. A leg takes as many cells as it is long. Legs without a finite place reach nothing.
     """
     side, reach = eps / math.sqrt(2) * (1 - 1e-6), eps * (1 + 1e-6)
 
     def finite(p: Column) -> Column:
         return (F.abs(p["x"]) < math.inf) & (F.abs(p["y"]) < math.inf)
 
-    def cell(p: Column) -> Column:
-        return F.struct(F.floor(p["x"] / side).alias("cx"), F.floor(p["y"] / side).alias("cy"))
+    def cell(v: Column) -> Column:
+        return F.greatest(F.least(F.floor(v / side), F.lit(2**62)), F.lit(-(2**62)))
 
     here = F.col(way).isNotNull() & (F.size(way) > 0) & F.col(key).isNotNull()
-    last = F.greatest(F.size(way) - 2, F.lit(0))
-    legs = F.filter(F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.get(way, i).alias("p"), F.coalesce(F.get(way, i + 1), F.get(way, i)).alias("q"))), lambda g: finite(g["p"]) & finite(g["q"]))
-    told = lines.filter(here).select(F.col(id_).alias("id"), F.col(key).alias("k"), legs.alias("legs"))
-    each = told.select("id", "k", F.explode(F.transform("legs", lambda g, i: F.struct(g["p"].alias("p"), g["q"].alias("q"), F.coalesce(F.get("legs", i - 1)["p"], g["p"]).alias("before")))).alias("leg"))
-    filed = each.select("id", "k", "leg", F.explode(_crossed(F.col("leg"), side)).alias("c")).select("id", "k", "c.cx", "c.cy", "c.box.*", *[F.col(f"leg.{a}.{c}").alias(a + c) for a in "pq" for c in "xy"])
-    bounds = [F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")]
-    filed = stored(filed.groupBy("k", "cx", "cy", "px", "py", "qx", "qy").agg(F.min("id").alias("id"), *bounds))  # legs of equal place are taken once
-    box, leg = F.struct("x0", "x1", "y0", "y1").alias("box"), F.struct(F.struct(F.col("px").alias("x"), F.col("py").alias("y")).alias("p"), F.struct(F.col("qx").alias("x"), F.col("qy").alias("y")).alias("q")).alias("leg")
-    places = filed.select("k", "cx", "cy", leg, box)
-
-    cells = stored(filed.groupBy("k", "cx", "cy").agg(F.min("id").alias("head"), *bounds).select("k", "cx", "cy", "head", box))
-    start, before = cell(F.col("leg.p")), cell(F.col("leg.before"))
-    steps = places.select("k", start.alias("a"), F.struct("cx", "cy").alias("b")).unionByName(each.select("k", before.alias("a"), start.alias("b"))).filter("a <> b")
-    steps = steps.select("k", "a.cx", "a.cy", F.col("b.cx").alias("bx"), F.col("b.cy").alias("by")).distinct()
-    steps = steps.join(cells.select("k", "cx", "cy", F.col("head").alias("a")), ["k", "cx", "cy"]).join(cells.select("k", F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("head").alias("b")), ["k", "bx", "by"])
-
-    def joined(cells: DataFrame, label: str, edges: DataFrame) -> DataFrame:
-        """The cells with the smallest label of those that ``edges`` join theirs to."""
-        roots = components(edges.select("a", "b")).withColumnRenamed("node", label)
-        return stored(cells.join(roots, label, "left").withColumn("label", F.coalesce("root", label)).select("k", "cx", "cy", "box", "label"))
-
-    cells = joined(cells, "head", steps)
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)])
-
-    def apart(cells: DataFrame) -> DataFrame:
-        """Pairs of cells of different clusters whose bounds are near each other."""
-        sent = cells.withColumn("s", F.explode(around)).select("k", (F.col("cx") + F.col("s.i")).alias("bx"), (F.col("cy") + F.col("s.j")).alias("by"), "cx", "cy", F.col("box").alias("box_a"), F.col("label").alias("a"))
-        there = cells.select("k", F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("box").alias("box_b"), F.col("label").alias("b"))
-        return sent.join(there, ["k", "bx", "by"]).filter((F.col("a") != F.col("b")) & (_gap("box_a", "box_b") <= reach))
-
-    others = places.select("k", F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("leg").alias("other"), F.col("box").alias("box_o"))
-    within = segment_distance(F.col("leg.p"), F.col("leg.q"), F.col("other.p"), F.col("other.q")) <= eps
-
-    pairs = stored(apart(cells))
-    nearest = pairs.join(places, ["k", "cx", "cy"]).groupBy("k", "cx", "cy", "bx", "by").agg(F.min_by("leg", _gap("box", "box_b")).alias("leg"), F.first("a").alias("a"), F.first("b").alias("b"))
-    cells = joined(cells, "label", nearest.join(others, ["k", "bx", "by"]).filter(within).select("a", "b").distinct())
-    pairs = stored(apart(cells))
-    if not pairs.isEmpty():
-        left = pairs.join(places, ["k", "cx", "cy"]).filter(_gap("box", "box_b") <= reach).select("k", "cx", "cy", "bx", "by", "box_a", "a", "b", "leg").distinct()
-        right = pairs.select("k", "cx", "cy", "bx", "by", "box_a").join(others, ["k", "bx", "by"]).filter(_gap("box_o", "box_a") <= reach).select("k", "cx", "cy", "bx", "by", "other").distinct()
-        cells = joined(cells, "label", left.join(right, ["k", "cx", "cy", "bx", "by"]).filter(within).select("a", "b").distinct())
-    homes = told.select("id", "k", cell(F.get("legs", F.lit(0))["p"]).alias("c")).select("id", "k", "c.*")
-    found = homes.join(cells.select("k", "cx", "cy", "label"), ["k", "cx", "cy"], "left").select(F.col("id").alias(id_), F.coalesce("label", "id").alias("cluster_id"))
-    return lines.filter(~F.coalesce(here, F.lit(False))).select(id_, F.lit(None).cast(found.schema["cluster_id"].dataType).alias("cluster_id")).unionByName(found)
+    told = lines.filter(here).select(F.col(id_).alias("id"), F.col(key).alias("k"), F.col(way).alias("way"))
+    id_type, k_type = (told.schema[c].dataType.simpleString() for c in ("id", "k"))
+    row = f"k {k_type}, id {id_type}, cx long, cy long, px double, py double, qx double, qy double, x0 double, x1 double, y0 double, y1 double, flags long"
+    known = told.filter(F.col("id").isNotNull())
+
+    rows = known.mapInArrow(lambda batches: leg_cells.tiled(batches, side), row + ", tx long, ty long")
+    rows = rows.repartition("k", "tx", "ty").sortWithinPartitions(F.xxhash64("k", "tx", "ty"), "k", "tx", "ty")
+    box = ", ".join(f"{c}{n} double" for c in "ab" for n in ("x0", "x1", "y0", "y1"))
+    found = stored(rows.mapInArrow(lambda batches: leg_cells.of_tiles(batches, side, eps), f"kind long, k {k_type}, cx long, cy long, a {id_type}, b {id_type}, pair struct<bx long, by long, {box}>"))
+    roots = _roots(found.filter("kind = 1").select("a", "b"))
+
+    def rooted(df: DataFrame, *labels: str) -> DataFrame:
+        """``df`` with the roots of its labels."""
+        for c in labels:
+            df = df.join(roots.select(F.col("node").alias(c), "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+        return df
+
+    cells = rooted(found.filter("kind = 0").select("k", "cx", "cy", F.col("a").alias("label")), "label")
+    left = found.filter("kind = 2")
+    if not left.isEmpty():
+        bounds = [F.struct(*[F.col(f"pair.{c}{n}").alias(n) for n in ("x0", "x1", "y0", "y1")]).alias(f"box_{c}") for c in "ab"]
+        pairs = stored(rooted(left.select("k", "cx", "cy", "pair.bx", "pair.by", *bounds, "a", "b"), "a", "b").filter("a <> b"))
+        wanted = pairs.select("k", "cx", "cy").union(pairs.select("k", "bx", "by")).distinct()
+        places = known.mapInArrow(lambda batches: (b for part in leg_cells.filed(batches, side) for b in part.to_batches(10_000)), row).filter(f"flags < {leg_cells.TIE}")
+        leg = F.struct(*[F.struct(F.col(f"{c}x").alias("x"), F.col(f"{c}y").alias("y")).alias(c) for c in "pq"]).alias("leg")
+        places = stored(places.join(wanted, ["k", "cx", "cy"], "left_semi").groupBy("k", "cx", "cy", "px", "py", "qx", "qy").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")).select("k", "cx", "cy", leg, F.struct("x0", "x1", "y0", "y1").alias("box")))
+        others = places.select("k", F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("leg").alias("other"), F.col("box").alias("box_o"))
+        within = segment_distance(F.col("leg.p"), F.col("leg.q"), F.col("other.p"), F.col("other.q")) <= eps
+
+        nearest = pairs.join(places, ["k", "cx", "cy"]).groupBy("k", "cx", "cy", "bx", "by").agg(F.min_by("leg", _gap("box", "box_b")).alias("leg"), F.first("a").alias("a"), F.first("b").alias("b"))
+        links = stored(nearest.join(others, ["k", "bx", "by"]).filter(within).select("a", "b").distinct())
+        roots = _roots(links)
+        pairs = stored(rooted(pairs, "a", "b").filter("a <> b"))
+        if not pairs.isEmpty():
+            near = pairs.join(places, ["k", "cx", "cy"]).filter(_gap("box", "box_b") <= reach).select("k", "cx", "cy", "bx", "by", "box_a", "leg").distinct()
+            other = pairs.select("k", "cx", "cy", "bx", "by", "box_a").join(others, ["k", "bx", "by"]).filter(_gap("box_o", "box_a") <= reach).select("k", "cx", "cy", "bx", "by", "other").distinct()
+            met = near.join(other, ["k", "cx", "cy", "bx", "by"]).filter(within).select("k", "cx", "cy", "bx", "by").distinct()
+            roots = _roots(stored(links.union(met.join(pairs, ["k", "cx", "cy", "bx", "by"]).select("a", "b")).distinct()))
+        cells = rooted(cells, "label")
+    first = F.get("way", F.lit(0))
+    whole = finite(first) & (F.size("way") > 1) & finite(F.get("way", F.lit(1)))
+    last = F.greatest(F.size("way") - 2, F.lit(0))
+    legs = F.filter(F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.get("way", i).alias("p"), F.coalesce(F.get("way", i + 1), F.get("way", i)).alias("q"))), lambda g: finite(g["p"]) & finite(g["q"]))
+    start = F.when(whole, first).otherwise(F.get(legs, F.lit(0))["p"])
+    homes = told.select("id", "k", start.alias("p")).select("id", "k", cell(F.col("p.x")).alias("cx"), cell(F.col("p.y")).alias("cy"))
+    named = homes.join(cells, ["k", "cx", "cy"], "left").select(F.col("id").alias(id_), F.col("k").alias(key), F.coalesce("label", "id").alias("cluster_id"))
+    out = lines.filter(~F.coalesce(here, F.lit(False))).select(id_, key, F.lit(None).cast(id_type).alias("cluster_id")).unionByName(named)
+    return out if keyed else out.drop(key)
