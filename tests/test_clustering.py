@@ -4,6 +4,7 @@ import math
 import random
 import threading
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,6 +233,32 @@ def test_leaders_of_long_texts(spark):
     assert found == want
 
 
+@pytest.mark.parametrize("count", [1, 40, 400, 5000])
+def test_bounds_of_leaders(monkeypatch, count):
+    """However few n-grams have columns, the leaders are those of all pairs; with most of them few pairs are compared further."""
+    monkeypatch.setattr(leader_blocks, "COLUMNS", count)
+    compared, exact = [], leader_blocks.similarities
+    monkeypatch.setattr(leader_blocks, "similarities", lambda x, i, *rest: compared.append(len(i)) or exact(x, i, *rest))
+    rng = np.random.default_rng(count)
+    roots = [rng.choice(3000, 300, False) for _ in range(3)]
+    sets = [np.unique(np.concatenate([rng.choice(roots[k % 3], rng.integers(1, 280), False), rng.integers(0, 3000, 5)])).astype(np.uint16) for k in range(600)]
+    sets += [s[: len(s) - k % 3] for k, s in enumerate(sets[:100])]
+    pos = np.arange(len(sets)) * 2
+    want, leaders = [], []
+    for i, a in enumerate(sets):
+        s, j = max(((c / (len(a) + len(sets[j]) - c), -j) for j in leaders for c in [len(np.intersect1d(a, sets[j]))]), default=(0, 0))
+        want.append(-j if s >= 0.5 else i)
+        leaders += [i] if s < 0.5 else []
+    column = leader_blocks.columns(np.bincount(np.concatenate(sets), minlength=leader_blocks.BASE**3))
+    x = leader_blocks.Counted(leader_blocks.Sets(pos, sets), column)
+    found = np.sort(x.pos[leader_blocks.leading(x, 0.5)]) // 2
+    assert found.tolist() == leaders
+    parts = [leader_blocks.Sets(pos[k], [sets[i] for i in k]) for k in np.array_split(found, 3)]
+    where, _ = leader_blocks.best(x, parts, column, 0.5)
+    assert {p // 2: (p if w < 0 else w) // 2 for p, w in zip(x.pos, where, strict=True)} == dict(enumerate(want))
+    assert count < 5000 or sum(compared[1:]) < 0.05 * len(sets) * len(leaders)
+
+
 @pytest.mark.parametrize(("seed", "few"), [(1, 200_000), (2, 0)])
 def test_segments_over_tiles_equal_all_pairs(spark, monkeypatch, seed, few):
     """Lines about the corners of tiles, crowded cells, long legs and lines with holes, by ids that are texts, against a search over all pairs."""

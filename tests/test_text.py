@@ -98,3 +98,13 @@ def test_lcs(a, b):
 def test_indel_ratio(spark):
     rows = spark.createDataFrame([("abc", "abd"), ("", ""), ("a", None)], "a string, b string")
     assert [r[0] for r in rows.select(similarity.indel_ratio("a", "b")).collect()] == [pytest.approx(4 / 6), 1.0, None]
+
+
+def test_whole_texts_as_names(spark):
+    """Every letter up to U+1FFFF within words, alone and doubled, and words that are dropped, beside and within others."""
+    letters = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    rows = [" ".join(f"ab{c}cd {c} {c}{c}" for c in letters[at : at + 512]) for at in range(0, len(letters), 512)]
+    rows += ["ulica ulica a most most  b park 5 ut x7 7 rad", "Most-ulicaulica.most", "\u0130STANBUL \u039f\u0394\u039f\u03a3 ulic\u0301a", "ulica a", "", " ", None]
+    names = spark.createDataFrame([(r,) for r in rows], "name string")
+    got = names.select(text.preprocess_text(F.col("name")).alias("got"), text.preprocess_name(F.col("name")).alias("want")).collect()
+    assert [r.got for r in got] == [r.want for r in got] and len(got) == len(rows)

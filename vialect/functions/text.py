@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import string
 import unicodedata
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -101,6 +104,45 @@ def preprocess_name(name: Column) -> Column:
     return F.array_join(significant(tokens(ascii_norm(name))), " ")
 
 
+def _letters() -> tuple[np.ndarray, dict[bytes, bytes]]:
+    """What ``ascii_norm`` makes of each lower-case letter: a byte by its code, the last for all from there on, and what
+    bytes beyond ASCII stand for; 0 goes."""
+    table = np.full(0x2001, ord(" "), np.uint8)
+    for letter in string.ascii_lowercase + string.digits:
+        table[ord(letter)] = ord(letter)
+    for letter, value in zip(*latin_table(), strict=True):
+        table[ord(letter)] = ord(value)
+    table[0x300:0x370] = 0
+    long = {**RARE_LONG, **LONG_FORMS}
+    for k, letter in enumerate(long):
+        table[ord(letter)] = 0x80 + k
+    return table, {bytes([0x80 + k]): value.encode() for k, value in enumerate(long.values())}
+
+
+_LETTERS, _SPELLED = _letters()
+_TYPES = re.compile(rf" (?:{'|'.join(STREET_TYPES)}) ".encode())
+
+
+def without_types(lowered: str) -> bytes:
+    """The words of a lower-case name as ``ascii_norm`` writes them, but for street types, between spaces."""
+    codes = np.frombuffer(lowered.encode("utf-32-le"), np.uint32)
+    words = _LETTERS[np.minimum(codes, len(_LETTERS) - 1)].tobytes()
+    if not words.isascii():
+        for code, value in _SPELLED.items():
+            words = words.replace(code, value)
+    return _TYPES.sub(b" ", b" " + words.translate(None, b"\0").replace(b" ", b"  ") + b" ")
+
+
+@F.pandas_udf(T.StringType())
+def _significant_words(lowered: pd.Series) -> pd.Series:
+    return lowered.map(lambda t: b" ".join(w for w in without_types(t).split() if len(w) > 1 or w.isdigit()).decode(), na_action="ignore")
+
+
+def preprocess_text(name: Column) -> Column:
+    """As ``preprocess_name``, for whole texts: one pass over the letters instead of one for every rare letter."""
+    return _significant_words(F.lower(name))
+
+
 def strip_longest(word: Column, suffixes: tuple[str, ...]) -> Column:
     """The word without the longest suffix that leaves three characters: the shortest such stem is the one that matches."""
     return F.regexp_replace(word, rf"^(.{{3,}}?)(?:{'|'.join(suffixes)})$", "$1")
